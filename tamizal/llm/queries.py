@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamizal.llm import boilerplate, bpe, packing, percentiles
+from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -37,6 +37,16 @@ def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(_day_summaries(spark, folder), PROBS)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Vacantes ids whose text holds wrongly decoded characters."""
+    return mojibake.damaged_keys(_table(spark, folder, "vacantes"))
+
+
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The damaged vacantes with the text as it was, as far as it can be restored."""
+    return mojibake.repaired(_table(spark, folder, "vacantes")).where("damaged").select("id", "text").dropDuplicates(["id"])
+
+
 def _repeated(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.repeated_lines(_table(spark, folder, "vacantes"))
 
@@ -51,6 +61,24 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_repeated(_table(spark, folder, "vacantes"), _repeated(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of queries and pairs of vacantes that read the same but are spelled with other characters; damaged texts form none."""
+    vacantes = _table(spark, folder, "vacantes")
+    damaged = mojibake.damaged_keys(vacantes)
+    pairs = confusables.look_alikes(vacantes, "id", "text")
+    for side in ("key_a", "key_b"):
+        pairs = pairs.join(damaged.select(F.col("id").alias(side)), side, "left_anti")
+    asked = confusables.look_alikes(_table(spark, folder, "queries"), "id", "query")
+    return asked.select(F.lit("queries").alias("tbl"), "key_a", "key_b").unionByName(pairs.select(F.lit("vacantes").alias("tbl"), "key_a", "key_b"))
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every text of queries and vacantes."""
+    asked = _table(spark, folder, "queries").select(F.lit("queries").alias("tbl"), F.col("id").cast("string").alias("key"), F.col("query").alias("text"))
+    segments = _table(spark, folder, "vacantes").select(F.lit("vacantes").alias("tbl"), F.col("id").alias("key"), "text").distinct()
+    return confusables.with_form(asked.unionByName(segments), "text", "form").select("tbl", "key", "form")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_corpus(_table(spark, folder, "documents"))
@@ -67,5 +95,5 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p3_found, p3_cleaned, p6_ids, p7_containers, p7_summary)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p5_found, p5_forms, p6_ids, p7_containers, p7_summary)
 }
