@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles
+from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles, qa_pairs
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -61,6 +61,11 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_repeated(_table(spark, folder, "vacantes"), _repeated(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs whose answer is no proper reply to its query, with the type of the defect."""
+    return qa_pairs.defects(_table(spark, folder, "runs"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of queries and pairs of vacantes that read the same but are spelled with other characters; damaged texts form none."""
     vacantes = _table(spark, folder, "vacantes")
@@ -95,5 +100,5 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p5_found, p5_forms, p6_ids, p7_containers, p7_summary)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p7_containers, p7_summary)
 }
