@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles, qa_pairs
+from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles, pii, qa_pairs
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -99,6 +99,21 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     return packing.summary(p7_containers(spark, folder), _table(spark, folder, "context_windows"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents in which an item of personal information begins, by kind."""
+    return pii.find(_table(spark, folder, "documents")).select("doc_id", "line_no", "kind").distinct()
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item of personal information with its place and kind."""
+    return pii.find(_table(spark, folder, "documents"))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders for its personal information."""
+    return pii.find(_table(spark, folder, "documents"), redact=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p7_containers, p7_summary)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
 }
