@@ -110,12 +110,18 @@ def distinctive_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(folded, lambda t: (F.length(t) >= 4) & ~F.array_contains(F.array(*(F.lit(g) for g in GENERIC_TERMS)), t)))
 
 
-def anchored(query: Column, context: Column) -> Column:
-    """Whether the context holds enough of the query's distinctive terms; true if the query has none."""
-    terms = distinctive_terms(query)
+def folded_tokens(text: Column) -> Column:
+    """The index tokens of a text without accents."""
+    return F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: T.fold(t))
+
+
+def anchored(terms: Column, context_tokens: Column) -> Column:
+    """Whether a context holds enough of a query's distinctive terms; true if the query has none.
+
+    Takes distinctive_terms and folded_tokens as columns, so that each is computed once.
+    """
     n = F.size(terms)
-    found = F.size(F.array_intersect(terms, F.transform(T.tokens(F.coalesce(context, F.lit(""))), lambda t: T.fold(t))))
-    return (n == 0) | (found >= F.greatest(F.lit(1), F.least(F.lit(2), F.ceil(n * 0.35).cast("int"))))
+    return (n == 0) | (F.size(F.array_intersect(terms, context_tokens)) >= F.greatest(F.lit(1), F.least(F.lit(2), F.ceil(n * 0.35).cast("int"))))
 
 
 def same_anchors(a: Column, b: Column) -> Column:

@@ -81,12 +81,9 @@ def stems(c: Column, size: int = 6) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(norm(c), " "), lambda t: t != ""), lambda t: F.substring(t, 1, size))))
 
 
-BLANKS = " \t\r\n\xa0"
-
-
 def strip(c: Column) -> Column:
     """Without blanks at both ends."""
-    return F.trim(c, F.lit(BLANKS))
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
 
 ROW_PREFIX = "^\\s*Tabla\\s+\\d+\\s*[—-]\\s*fila\\s+\\d+\\s*:\\s*"
@@ -103,12 +100,12 @@ def fields(c: Column) -> Column:
 
 def group_of(label: Column) -> Column:
     """The part of a header path before its last slash; empty without one."""
-    return F.trim(F.regexp_extract(label, "^(.*)/", 1))
+    return strip(F.regexp_extract(label, "^(.*)/", 1))
 
 
 def item_of(label: Column) -> Column:
     """The part of a header path after its last slash."""
-    return F.trim(F.regexp_extract(label, "([^/]*)$", 1))
+    return strip(F.regexp_extract(label, "([^/]*)$", 1))
 
 
 def number(c: Column) -> Column:

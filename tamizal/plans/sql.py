@@ -16,6 +16,10 @@ def norm(x: str) -> str:
     return f"trim(regexp_replace({fold(x)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def tokens(x: str) -> str:
     signs = T.EDGE_SIGNS.replace("'", "''")
     stop = ", ".join(f"'{s}'" for s in T.STOPWORDS)

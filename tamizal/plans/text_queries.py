@@ -125,9 +125,9 @@ ORACLES = {
     "row_fields": f"""
         WITH rows AS (SELECT id, line_no::INT AS line_no, regexp_replace(line, '^\\s*Tabla\\s+[0-9]+\\s*[—-]\\s*fila\\s+[0-9]+\\s*:\\s*', '') AS body FROM {S.lines(_V, 'id')} WHERE regexp_matches(line, '^(Tabla [0-9]+ — fila [0-9]+:|[A-Z]+ \\| )')),
         parts AS (SELECT id, line_no, unnest(regexp_extract_all(body, '(?:^|[;|])\\s*([^:;|]{{2,80}}?)\\s*:\\s*([^;|]+)', 1)) AS a, unnest(regexp_extract_all(body, '(?:^|[;|])\\s*([^:;|]{{2,80}}?)\\s*:\\s*([^;|]+)', 2)) AS b, unnest(range(len(regexp_extract_all(body, '(?:^|[;|])\\s*([^:;|]{{2,80}}?)\\s*:\\s*([^;|]+)', 1)))) AS i FROM rows),
-        kept AS (SELECT id, line_no, i, trim(a, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS label, trim(b, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS value FROM parts WHERE trim(a, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '' AND trim(b, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) <> '')
+        kept AS (SELECT id, line_no, i, {S.strip('a')} AS label, {S.strip('b')} AS value FROM parts WHERE {S.strip('a')} <> '' AND {S.strip('b')} <> '')
         SELECT id, line_no, (row_number() OVER (PARTITION BY id, line_no ORDER BY i) - 1)::INT AS place, label, value,
-               CASE WHEN contains(label, '/') THEN trim(regexp_extract(label, '^(.*)/', 1)) ELSE '' END AS grp, trim(split_part(label, '/', -1)) AS item,
+               CASE WHEN contains(label, '/') THEN {S.strip("regexp_extract(label, '^(.*)/', 1)")} ELSE '' END AS grp, {S.strip("split_part(label, '/', -1)")} AS item,
                CASE WHEN regexp_full_match(trim(value), '[0-9]{{1,18}}') THEN trim(value)::BIGINT END AS number
         FROM kept""",
     "answer_numbers": f"""
