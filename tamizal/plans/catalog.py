@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamizal.plans import retrieval_queries, text_queries
+from tamizal.plans import eval_queries, retrieval_queries, table_queries, text_queries
 
-_MODULES = (retrieval_queries, text_queries)
+_MODULES = (eval_queries, retrieval_queries, table_queries, text_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: query for m in _MODULES for name, query in m.ORACLES.items()}
