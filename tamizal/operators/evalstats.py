@@ -23,7 +23,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def shares(df: DataFrame, by: Sequence[str], part: str, value: str) -> DataFrame:
     """Sum of value by part and its share of the total, for each combination of by and over all (grouping sets)."""
     sums = df.groupingSets([[F.col(c) for c in (*by, part)], [F.col(part)]], *(F.col(c) for c in (*by, part))).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-    return sums.withColumn("share", F.round(F.col("total") / F.sum("total").over(Window.partitionBy(*by)), 6))
+    return sums.withColumn("share", F.round(F.col("total").cast("double") / F.sum("total").over(Window.partitionBy(*by)).cast("double"), 6))
 
 
 def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence[str]) -> DataFrame:

@@ -130,7 +130,7 @@ def section_ends(spark: SparkSession, folder: str) -> DataFrame:
 
 def rare_acronyms(spark: SparkSession, folder: str) -> DataFrame:
     """Acronyms that stand once in all documents, with their document."""
-    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("\\b[A-Z]{3,6}\\b"), F.lit(0))).alias("acronym"))
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.filter(F.split("text", "[^\\p{L}]+"), lambda w: w.rlike("^[A-Z]{3,6}$"))).alias("acronym"))
     return d.groupBy("acronym").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").drop("n")
 
 
@@ -198,7 +198,7 @@ ORACLES = {
     "syllabus_headings": f"SELECT DISTINCT doc_id, {S.strip('line')} AS heading FROM {S.lines('documents', 'doc_id')} WHERE starts_with({S.strip('line')}, 'TEMARIO ') AND length({S.strip('line')}) <= 90",
     "section_ends": f"""WITH a AS (SELECT source, seq, count(*) AS articles FROM {S.lines(_V, 'source, seq')} WHERE source IS NOT NULL AND regexp_matches(line, '{_ARTICLE}') GROUP BY ALL)
         SELECT source, seq, articles, lead(seq) OVER (PARTITION BY source ORDER BY seq) AS ends FROM a""",
-    "rare_acronyms": "SELECT acronym, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{3,6}\\b')) AS acronym FROM documents WHERE text IS NOT NULL) GROUP BY acronym HAVING count(*) = 1",
+    "rare_acronyms": "SELECT acronym, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda w: regexp_full_match(w, '[A-Z]{3,6}'))) AS acronym FROM documents WHERE text IS NOT NULL) GROUP BY acronym HAVING count(*) = 1",
     "document_scores": f"""WITH q AS (SELECT id, category, unnest(list_distinct({S.tokens('query')})) AS t FROM question_bank), d AS (SELECT doc_id, category, unnest(list_distinct({S.tokens('text')})) AS t FROM documents WHERE text IS NOT NULL AND category IS NOT NULL),
         s AS (SELECT q.id, d.doc_id, count(*) AS score FROM q JOIN d ON d.category = q.category AND d.t = q.t GROUP BY ALL), b AS (SELECT * FROM s QUALIFY score = max(score) OVER (PARTITION BY id))
         SELECT id, any_value(doc_id) AS doc_id, any_value(score) AS score FROM b GROUP BY id HAVING count(*) = 1 AND any_value(score) >= 5""",

@@ -10,16 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
+    """Event time as a timestamp with zone, as watermarks need it; the watermark on streams."""
+    typed = events.withColumn(at, F.col(at).cast("timestamp"))
+    return typed.withWatermark(at, late) if events.isStreaming else typed
+
+
 def windowed(events: DataFrame, at: str = "ts", kind: str = "event_type", value: str = "value", size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count, sum and greatest value by window and kind; events later than the watermark are dropped. Works on tables alike."""
-    src = events.withWatermark(at, late) if events.isStreaming else events
+    src = _timed(events, at, late)
     w = F.window(at, size, slide) if slide else F.window(at, size)
     return src.groupBy(w.alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most")).select(F.col("w.start").alias("begins"), kind, "n", "total", "most")
 
 
 def sessions(events: DataFrame, at: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: events no more than a gap apart."""
-    src = events.withWatermark(at, late) if events.isStreaming else events
+    src = _timed(events, at, late)
     return src.groupBy(F.session_window(at, gap).alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "n")
 
 
