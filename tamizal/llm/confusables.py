@@ -95,7 +95,7 @@ def form(text: str | None) -> str | None:
         if FOREIGN.search(text):
             text = TOKEN.sub(lambda m: spell(m[0]) if FOREIGN.search(m[0]) else m[0], text)
         text = unicodedata.normalize("NFC", text)
-    return LINE_END.sub("", text) if text[-1] in " \t\r\f\v" or " \n" in text or "\r\n" in text or "\t\n" in text or "\f\n" in text or "\v\n" in text else text
+    return LINE_END.sub("", text) if text[-1:] in " \t\r\f\v" or " \n" in text or "\r\n" in text or "\t\n" in text or "\f\n" in text or "\v\n" in text else text
 
 
 def with_form(df: DataFrame, text: str, out: str) -> DataFrame:
