@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamizal.functions import text as T
@@ -51,20 +51,24 @@ def any_rule(c: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def explicit_intent(query: Column) -> Column:
-    """The category a query names outright, else the schedule if it asks for a time and names the process, else null."""
-    q = F.regexp_replace(T.fold(query), "\\s+", " ")
+def rule_text(query: Column) -> Column:
+    """The query as the rules read it: folded, single spaces. Make it a column of its own, so that it is computed once."""
+    return F.regexp_replace(T.fold(query), "\\s+", " ")
+
+
+def explicit_intent(q: Column) -> Column:
+    """The category a query (as rule_text) names outright, else the schedule if it asks for a time and names the process, else null."""
     return F.coalesce(first_rule(q, INTENT_RULES), F.when(q.rlike(TEMPORAL) & q.rlike(SUBJECT), "CRONOGRAMA"))
 
 
-def outside_domain(query: Column) -> Column:
-    return any_rule(F.regexp_replace(T.fold(query), "\\s+", " "), OUTSIDE_RULES)
+def outside_domain(q: Column) -> Column:
+    return any_rule(q, OUTSIDE_RULES)
 
 
-def rule_route(query: Column, outside: str = "FUERA_DE_DOMINIO") -> Column:
-    """Rule precedence: the syllabus intent, then the topics outside, then other intents; null is left to a model."""
-    intent = explicit_intent(query)
-    return F.when(intent == "TEMARIO", intent).when(outside_domain(query), outside).otherwise(intent)
+def rule_route(q: Column, outside: str = "FUERA_DE_DOMINIO") -> Column:
+    """Rule precedence on rule_text: the syllabus intent, then the topics outside, then other intents; null is left to a model."""
+    syllabus = first_rule(q, INTENT_RULES[:1])
+    return F.when(syllabus.isNotNull(), syllabus).when(outside_domain(q), outside).otherwise(explicit_intent(q))
 
 
 def is_list_query(query: Column) -> Column:
@@ -76,16 +80,20 @@ def top_k(query: Column, k: int = 5) -> Column:
     return F.when(is_list_query(query), 2 * k).otherwise(k)
 
 
-def text_quality(c: Column) -> Column:
-    """Whether a page's text layer can be used: struct of status, reason, and the seven measures behind it."""
-    c = F.coalesce(c, F.lit(""))
-    compact = F.regexp_replace(c, "(?U)\\s", "")
-    n = F.length(compact)
-    letters, digits = (F.length(F.regexp_replace(compact, f"[^{p}]", "")) for p in ("\\p{L}", "\\p{Nd}"))
-    odd = F.length(F.regexp_replace(compact, "[^\\x{FFFD}\\p{Cc}\\p{Cs}\\p{Co}]", ""))
-    words = F.size(F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0)))
+def with_text_quality(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with quality: whether a page's text layer can be used, as struct of status, reason and the measures behind it.
+
+    In steps, so that the text without white space is made once for all measures.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    one = df.withColumn("compact_", F.regexp_replace(c, "(?U)\\s", ""))
+    rest = lambda p: F.length(F.regexp_replace("compact_", f"[^{p}]+", ""))
     lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    table_like = F.size(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\r")).rlike("\\s{2,}|\t")))
+    two = one.withColumns({
+        "n_": F.length("compact_"), "letters_": rest("\\p{L}"), "digits_": rest("\\p{Nd}"), "odd_": rest("\\x{FFFD}\\p{Cc}\\p{Cs}\\p{Co}"), "words_": F.size(F.regexp_extract_all(c, F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))),
+        "table_": F.size(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\r")).rlike("\\s{2,}|\t"))),
+    })
+    n, letters, digits, odd, words, table_like = (F.col(x) for x in ("n_", "letters_", "digits_", "odd_", "words_", "table_"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     alnum, dense, lost = ratio(letters + digits, n), ratio(digits, letters + digits), ratio(odd, n)
     reason = (
@@ -97,11 +105,13 @@ def text_quality(c: Column) -> Column:
         .when((n >= 80) & (alnum >= 0.85) & (dense >= 0.35), "dense_numeric_or_table_text")
         .otherwise("native_text_below_conservative_threshold")
     )
-    usable = reason.isin("readable_layout_or_table_rows", "enough_readable_word_tokens", "dense_numeric_or_table_text")
-    return F.struct(
-        F.when(usable, "native_text").otherwise("needs_ocr").alias("status"), reason.alias("reason"), n.alias("characters"), words.alias("words"), table_like.alias("table_like_lines"),
+    three = two.withColumn("reason_", reason)
+    usable = F.col("reason_").isin("readable_layout_or_table_rows", "enough_readable_word_tokens", "dense_numeric_or_table_text")
+    quality = F.struct(
+        F.when(usable, "native_text").otherwise("needs_ocr").alias("status"), F.col("reason_").alias("reason"), n.alias("characters"), words.alias("words"), table_like.alias("table_like_lines"),
         F.round(alnum, 4).alias("alphanumeric_ratio"), F.round(dense, 4).alias("digit_ratio"), F.round(lost, 4).alias("suspicious_ratio"),
     )
+    return three.withColumn("quality", quality).drop("compact_", "n_", "letters_", "digits_", "odd_", "words_", "table_", "reason_")
 
 
 def distinctive_terms(query: Column) -> Column:

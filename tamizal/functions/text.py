@@ -71,9 +71,8 @@ def template_key(c: Column, words: int = 4) -> Column:
 
 def tokens(c: Column) -> Column:
     """Index tokens: lower case, cut at white space, signs off the ends, no stop words, more than one character."""
-    edge = "[" + "".join("\\" + s for s in EDGE_SIGNS) + "]"
-    bare = F.transform(F.split(F.trim(F.regexp_replace(F.lower(c), "\\s+", " ")), " "), lambda t: F.regexp_replace(t, f"^{edge}+|{edge}+$", ""))
-    return F.filter(bare, lambda t: (F.length(t) > 1) & ~F.array_contains(F.array(*(F.lit(s) for s in STOPWORDS)), t))
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), "\\s+", " ")), " ")
+    return F.filter(F.transform(words, lambda t: F.trim(t, F.lit(EDGE_SIGNS))), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def stems(c: Column, size: int = 6) -> Column:

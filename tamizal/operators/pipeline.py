@@ -61,7 +61,7 @@ def run(questions: DataFrame, stages: Sequence[Stage], key: str = "key") -> Data
 
 def rule_exit(text: str = "La consulta está fuera del ámbito de admisión.") -> Stage:
     """Answers questions that a rule puts outside the domain."""
-    return Stage("router_ood", lambda q: q.where(P.rule_route(F.col("query")) == "FUERA_DE_DOMINIO").select("key", F.lit(text).alias("answer")))
+    return Stage("router_ood", lambda q: q.where(P.rule_route(P.rule_text(F.col("query"))) == "FUERA_DE_DOMINIO").select("key", F.lit(text).alias("answer")))
 
 
 def prompt(query: Column, fragments: Column, none: str = "No encontré esa información en los documentos.") -> Column:

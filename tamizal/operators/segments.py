@@ -156,11 +156,12 @@ def split_pages(text: Column) -> Column:
     return F.when(T.strip(F.element_at(pages, -1)) == "", F.slice(pages, 1, F.size(pages) - 1)).otherwise(pages)
 
 
-def extraction_method(text: Column, ink: Column, blank: float = 0.0001) -> Column:
-    """How a page is to be read: its text layer, not at all if it is blank, else by recognition."""
-    from tamizal.functions.predicates import text_quality
+def with_extraction_method(pages: DataFrame, text: str = "text", ink: str = "ink", blank: float = 0.0001) -> DataFrame:
+    """pages with method, how a page is to be read: its text layer, not at all if it is blank, else by recognition."""
+    from tamizal.functions.predicates import with_text_quality
 
-    return F.when(text_quality(text)["status"] == "native_text", "native_text").when(ink < blank, "blank").otherwise("ocr")
+    q = with_text_quality(pages, text)
+    return q.withColumn("method", F.when(F.col("quality.status") == "native_text", "native_text").when(F.col(ink) < blank, "blank").otherwise("ocr")).drop("quality")
 
 
 def in_batches(df: DataFrame, provider, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tamizal.functions import predicates as P
 from tamizal.functions import text as T
 from tamizal.operators import evalstats as E
 from tamizal.plans import sql as S
-from tamizal.sources.tables import table
+from tamizal.sources.tables import spread, table
 
 _KEY = ("id", "system", "attempt")
 
@@ -27,25 +27,25 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The text-layer verdict on every document."""
-    q = P.text_quality(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.status", "q.reason", "q.characters", "q.words", "q.alphanumeric_ratio", "q.digit_ratio", "q.suspicious_ratio")
+    q = P.with_text_quality(spread(table(spark, folder, "documents").select("doc_id", "text")))
+    return q.select("doc_id", *(f"quality.{c}" for c in ("status", "reason", "characters", "words", "alphanumeric_ratio", "digit_ratio", "suspicious_ratio")))
 
 
 def router_rules(spark: SparkSession, folder: str) -> DataFrame:
     """What the rules alone make of every query: category, outside the domain, and how many passages to fetch."""
-    q = F.col("query")
-    return table(spark, folder, "queries").select("id", P.rule_route(q).alias("rule"), P.outside_domain(q).alias("outside"), P.top_k(q).alias("top_k"))
+    q = F.col("q")
+    return table(spark, folder, "queries").select("id", "query", P.rule_text(F.col("query")).alias("q")).select("id", P.rule_route(q).alias("rule"), P.outside_domain(q).alias("outside"), P.top_k(F.col("query")).alias("top_k"))
 
 
 def router_confusion(spark: SparkSession, folder: str) -> DataFrame:
     """True category against the rules' category, zeros included."""
-    q = table(spark, folder, "queries").where("categoria_correcta is not null").select("categoria_correcta", P.rule_route(F.col("query")).alias("rule"))
+    q = table(spark, folder, "queries").where("categoria_correcta is not null").select("categoria_correcta", P.rule_text(F.col("query")).alias("q")).select("categoria_correcta", P.rule_route(F.col("q")).alias("rule"))
     return E.confusion(q, "categoria_correcta", "rule", ["CRONOGRAMA", "VACANTES", "TEMARIO", "REGLAMENTO", "FUERA_DE_DOMINIO"])
 
 
 def router_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Precision, recall and F1 of the rules by category."""
-    q = table(spark, folder, "queries").select("categoria_correcta", P.rule_route(F.col("query")).alias("rule"))
+    q = table(spark, folder, "queries").select("categoria_correcta", P.rule_text(F.col("query")).alias("q")).select("categoria_correcta", P.rule_route(F.col("q")).alias("rule"))
     return E.precision_recall(q, "categoria_correcta", "rule")
 
 

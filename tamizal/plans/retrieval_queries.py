@@ -9,7 +9,8 @@ from tamizal.functions import predicates as P
 from tamizal.functions import text as T
 from tamizal.operators import retrieval as R
 from tamizal.plans import sql as S
-from tamizal.sources.tables import lines, table, vacantes
+from tamizal.session import materialize
+from tamizal.sources.tables import lines, spread, table, vacantes
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,20 +37,25 @@ def lsh_top10(spark: SparkSession, folder: str) -> DataFrame:
     return R.lsh_top_k(*_vectors(spark, folder))
 
 
+def _index(spark: SparkSession, folder: str, part: str | None = None) -> DataFrame:
+    """The lexical index of the documents, written once and read for weights, lengths and hits."""
+    d = table(spark, folder, "documents").select("doc_id", "text", *([part] if part else [])).where(f"{part} is not null" if part else "true")
+    return materialize(R.postings(spread(d), "doc_id", "text", part), "postings")
+
+
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
     """The ten documents that match every fiftieth query best."""
-    return R.bm25_top_k(R.postings(table(spark, folder, "documents"), "doc_id", "text"), _asked(spark, folder))
+    return R.bm25_top_k(_index(spark, folder), _asked(spark, folder))
 
 
 def bm25_partitioned(spark: SparkSession, folder: str) -> DataFrame:
     """The same within documents of the query's category."""
-    d = table(spark, folder, "documents").where("category is not null")
-    return R.bm25_top_k(R.postings(d, "doc_id", "text", "category"), _asked(spark, folder).where("categoria_correcta is not null"), k=5, part="categoria_correcta", min_score=0.0)
+    return R.bm25_top_k(_index(spark, folder, "category"), _asked(spark, folder).where("categoria_correcta is not null"), k=5, part="categoria_correcta", min_score=0.0)
 
 
 def _hashed(spark: SparkSession, folder: str) -> DataFrame:
     v = lambda df, key, text: df.select(F.col(key).cast("bigint").alias("k"), R.hashed_vector(F.col(text)).alias("v"))
-    rows = v(table(spark, folder, "documents"), "doc_id", "text")
+    rows = v(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
     # queries and documents are two key spaces: a query's key is kept apart by its sign
     asked = v(_asked(spark, folder), "id", "query").withColumn("k", -F.col("k"))
     found = R.dense_top_k(rows, asked, k=10, key="k", vector="v")

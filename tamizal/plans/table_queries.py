@@ -9,7 +9,7 @@ from tamizal.functions import text as T
 from tamizal.operators import segments as G
 from tamizal.operators import tables as B
 from tamizal.plans import sql as S
-from tamizal.sources.tables import lines, table, vacantes
+from tamizal.sources.tables import lines, spread, table, vacantes
 
 _ROW = r"^(Tabla [0-9]+ — fila [0-9]+:|VACANTES \| )"
 
@@ -78,7 +78,7 @@ def schedule_days(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_200_20(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every document: 200 words, 20 shared."""
-    d = table(spark, folder, "documents").select("doc_id", F.posexplode(G.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    d = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(G.chunks(F.col("text"))).alias("chunk_no", "chunk"))
     return d.select("doc_id", "chunk_no", F.length("chunk").alias("size"), F.md5("chunk").alias("md5"))
 
 
@@ -137,7 +137,7 @@ def rare_acronyms(spark: SparkSession, folder: str) -> DataFrame:
 def document_scores(spark: SparkSession, folder: str) -> DataFrame:
     """For each bank question the document of its category with the strictly highest word overlap; ties give none."""
     q = table(spark, folder, "question_bank").select("id", "category", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("t"))
-    d = table(spark, folder, "documents").where("text is not null and category is not null").select("doc_id", "category", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
+    d = spread(table(spark, folder, "documents").select("doc_id", "text", "category").where("text is not null and category is not null")).select("doc_id", "category", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
     s = q.join(d, ["category", "t"]).groupBy("id", "doc_id").agg(F.count("*").alias("score"))
     best = s.withColumn("place", F.rank().over(Window.partitionBy("id").orderBy(F.desc("score")))).where("place = 1")
     return best.groupBy("id").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("score").alias("score")).where("n = 1 and score >= 5").drop("n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamizal.functions import text as T
 from tamizal.plans import sql as S
-from tamizal.sources.tables import lines, table, vacantes
+from tamizal.sources.tables import lines, spread, table, vacantes
 
 
 def text_norms(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +20,7 @@ def text_norms(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """How often each index token stands in the documents, and in how many."""
-    t = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    t = spread(table(spark, folder, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("uses"), F.count("*").alias("documents"))
 
 

@@ -11,6 +11,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files make fewer.
+
+    Costly work on each row would else run on a few cores. Larger inputs have more
+    partitions than that and stay as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def vacantes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The distinct segments: rows that stand twice in all columns count once, told apart by their key."""
     wanted = ["id", *(c for c in (columns or ("text",)) if c != "id")]

@@ -61,7 +61,7 @@ def test_outcome(spark):
 
 
 def test_router_precedence(spark):
-    route = lambda q: one(spark, P.rule_route(F.lit(q)))
+    route = lambda q: one(spark, P.rule_route(P.rule_text(F.lit(q))))
     assert route("¿Entra el clima en el temario?") == "TEMARIO"
     assert route("¿Va a llover por la inscripción?") == "FUERA_DE_DOMINIO"
     assert route("¿Cuándo es el examen?") == "CRONOGRAMA"
@@ -69,8 +69,10 @@ def test_router_precedence(spark):
 
 
 def test_quality_and_guards(spark):
-    assert one(spark, P.text_quality(F.lit("corto")))["reason"] == "too_little_native_text"
-    assert one(spark, P.text_quality(F.lit("Una página con bastantes palabras legibles para el lector de hoy."))) ["status"] == "native_text"
+    pages = spark.createDataFrame([("corto",), ("Una página con bastantes palabras legibles para el lector de hoy.",), (None,)], "text string")
+    got = {r["text"]: r["quality"] for r in P.with_text_quality(pages).collect()}
+    assert got["corto"]["reason"] == got[None]["reason"] == "too_little_native_text"
+    assert {r["status"] for t, r in got.items() if t and len(t) > 9} == {"native_text"}
     assert one(spark, P.supported_numbers(F.lit("son 12"), F.lit("12 plazas"), F.lit("")))
     assert not one(spark, P.supported_numbers(F.lit("son 13"), F.lit("12 plazas"), F.lit("")))
     assert one(spark, P.reversed_verdict(F.lit("FUERA_DE_DOMINIO"), F.lit("TEMARIO"), F.lit(0.7), F.lit(False))) == "TEMARIO"
