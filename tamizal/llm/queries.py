@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles, pii, qa_pairs
+from tamizal.sources.tables import spread
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table's columns, over all cores where its files make fewer partitions than that."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 def _day_summaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,16 +42,16 @@ def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Vacantes ids whose text holds wrongly decoded characters."""
-    return mojibake.damaged_keys(_table(spark, folder, "vacantes"))
+    return mojibake.damaged_keys(_table(spark, folder, "vacantes", "id", "text"))
 
 
 def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """The damaged vacantes with the text as it was, as far as it can be restored."""
-    return mojibake.repaired(_table(spark, folder, "vacantes")).where("damaged").select("id", "text").dropDuplicates(["id"])
+    return mojibake.repaired(_table(spark, folder, "vacantes", "id", "text")).where("damaged").select("id", "text").dropDuplicates(["id"])
 
 
 def _repeated(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.repeated_lines(_table(spark, folder, "vacantes"))
+    return boilerplate.repeated_lines(_table(spark, folder, "vacantes", "id", "text", "source"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +61,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """Each vacantes id with its text freed of repeated lines and near copies of them."""
-    return boilerplate.without_repeated(_table(spark, folder, "vacantes"), _repeated(spark, folder))
+    return boilerplate.without_repeated(_table(spark, folder, "vacantes", "id", "text"), _repeated(spark, folder))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +71,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of queries and pairs of vacantes that read the same but are spelled with other characters; damaged texts form none."""
-    vacantes = _table(spark, folder, "vacantes")
+    vacantes = _table(spark, folder, "vacantes", "id", "text")
     damaged = mojibake.damaged_keys(vacantes)
     pairs = confusables.look_alikes(vacantes, "id", "text")
     for side in ("key_a", "key_b"):
@@ -80,18 +83,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every text of queries and vacantes."""
     asked = _table(spark, folder, "queries").select(F.lit("queries").alias("tbl"), F.col("id").cast("string").alias("key"), F.col("query").alias("text"))
-    segments = _table(spark, folder, "vacantes").select(F.lit("vacantes").alias("tbl"), F.col("id").alias("key"), "text").distinct()
+    segments = _table(spark, folder, "vacantes", "id", "text").select(F.lit("vacantes").alias("tbl"), F.col("id").alias("key"), "text").distinct()
     return confusables.with_form(asked.unionByName(segments), "text", "form").select("tbl", "key", "form")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return bpe.encode_corpus(_table(spark, folder, "documents"))
+    return bpe.encode_corpus(_table(spark, folder, "documents", "doc_id", "text"))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's parts and their containers, for each capacity of context_windows."""
-    return packing.pack(bpe.count_tokens(_table(spark, folder, "documents")), _table(spark, folder, "context_windows"))
+    return packing.pack(bpe.count_tokens(_table(spark, folder, "documents", "doc_id", "text")), _table(spark, folder, "context_windows"))
 
 
 def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,17 +104,17 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of documents in which an item of personal information begins, by kind."""
-    return pii.find(_table(spark, folder, "documents")).select("doc_id", "line_no", "kind").distinct()
+    return pii.find(_table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "line_no", "kind").distinct()
 
 
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every item of personal information with its place and kind."""
-    return pii.find(_table(spark, folder, "documents"))
+    return pii.find(_table(spark, folder, "documents", "doc_id", "text"))
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with typed placeholders for its personal information."""
-    return pii.find(_table(spark, folder, "documents"), redact=True)
+    return pii.find(_table(spark, folder, "documents", "doc_id", "text"), redact=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
