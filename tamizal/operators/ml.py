@@ -40,9 +40,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFra
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % k)
 
 
-def classifier(kind: str, label: str = "label", buckets: int = 1 << 16) -> Pipeline:
+def classifier(kind: str, label: str = "label", buckets: int = 1 << 16, rounds: int = 60) -> Pipeline:
     """TF-IDF with sublinear counts over hashed terms, then svm, bayes or logistic."""
-    models = {"svm": OneVsRest(classifier=LinearSVC(regParam=1e-3, maxIter=40), labelCol="y"), "bayes": NaiveBayes(modelType="multinomial", smoothing=0.1, labelCol="y"), "logistic": LogisticRegression(regParam=1e-3, maxIter=60, family="multinomial", labelCol="y")}
+    models = {"svm": OneVsRest(classifier=LinearSVC(regParam=1e-3, maxIter=rounds), labelCol="y"), "bayes": NaiveBayes(modelType="multinomial", smoothing=0.1, labelCol="y"), "logistic": LogisticRegression(regParam=1e-3, maxIter=rounds, family="multinomial", labelCol="y")}
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=buckets), IDF(inputCol="tf", outputCol="features"), models[kind]])
 
 
@@ -50,11 +50,11 @@ def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
-def cross_validated(df: DataFrame, kind: str, label: str, k: int = 5) -> DataFrame:
+def cross_validated(df: DataFrame, kind: str, label: str, k: int = 5, buckets: int = 1 << 16, rounds: int = 60) -> DataFrame:
     """key columns with the prediction of a model that never saw the row's fold; df must have terms and fold."""
     out = None
     for i in range(k):
-        model = classifier(kind, label).fit(df.where(F.col("fold") != i))
+        model = classifier(kind, label, buckets, rounds).fit(df.where(F.col("fold") != i))
         names = F.array(*(F.lit(x) for x in labels_of(model)))
         part = model.transform(df.where(F.col("fold") == i)).withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1)).select(*df.columns, "predicted")
         out = part if out is None else out.unionByName(part)

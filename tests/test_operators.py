@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamizal.operators import articles as A
 from tamizal.operators import cache as C
 from tamizal.operators import evalstats as E
 from tamizal.operators import pipeline as L
@@ -178,3 +179,43 @@ def test_uploads(spark):
     assert got == {"a": "accepted", "b": "duplicate", "c": "no_pdf", "d": "too_many_pages"}
     with pytest.raises(Exception, match="repeated key"):
         readers.one_to_one(spark.createDataFrame([("k", 1), ("k", 2)], "q string, v int"), spark.createDataFrame([("k", 1)], "q string, v int"), "q").collect()
+
+
+def test_article_over_pages(spark):
+    text = [("s", 1, 1, 1, "Artículo 7. La comisión revisa"), ("s", 1, 1, 2, "los expedientes y"), ("s", 2, 2, 1, "los devuelve. UNIVERSIDAD"), ("s", 3, 3, 1, "Artículo 8. Otra cosa."), ("t", 1, 9, 1, "sin artículo")]
+    df = spark.createDataFrame(text, "source string, page int, seq int, line_no int, line string")
+    got = {r["article"]: (r["text"], r["pages"], r["lines"]) for r in A.article_texts(df).collect()}
+    assert got == {7: ("Artículo 7. La comisión revisa\nlos expedientes y\nlos devuelve.", 2, 3), 8: ("Artículo 8. Otra cosa.", 1, 1)}
+
+
+def test_date_cells(spark):
+    r = spark.createDataFrame([("EXAMEN FASE I", "inscripciones", ["1/2/2026", "9/2/2026"]), ("EXAMEN FASE II", "inscripciones", ["3/3/2026"]), ("EXAMEN FASE II", "inscripciones", ["4/3/2026"])], "heading string, item string, dates array<string>")
+    a = spark.createDataFrame([("inscripciones", "inscripcion")], "item string, alias string")
+    q = spark.createDataFrame([("a", "hasta cuándo es la inscripción de la fase I"), ("b", "inscripción fase I"), ("c", "inscripción de la fase II"), ("d", "inscripción")], "id string, query string")
+    got = {x["id"]: x["answer"] for x in A.date_cells(q, r, a).collect()}
+    assert got == {"a": "9/2/2026", "b": "Del 1/2/2026 al 9/2/2026"}
+
+
+def test_outline_and_quantities(spark):
+    r = spark.createDataFrame([("d", i, t) for i, t in enumerate(["COMPRENSIÓN", "1. Textos", "texto", "2. Ideas", "LÓGICA", "1. Juicios"])], "d string, seq int, text string")
+    got = {x["text"]: x["items"] for x in A.outline(r, ("d",), "seq", "text", F.col("text").rlike("^[A-ZÓ]+$")).collect()}
+    assert got == {"COMPRENSIÓN": ["1. Textos", "2. Ideas"], "LÓGICA": ["1. Juicios"]}
+    c = spark.createDataFrame([("t", i, p, f"c{p}", str(i * p) if i < 3 else "x") for i in (1, 2, 3) for p in (1, 2)], "tbl string, row int, place int, label string, value string")
+    assert rows(A.quantitative(c, ("tbl",), "row")) == [("t", 2, "c1: 1; c2: 2\nc1: 2; c2: 4")]
+
+
+def test_source_page_hits(spark):
+    r = spark.createDataFrame([("a", [("s", 1), ("s", 2)]), ("b", [])], "id string, contexts array<struct<source:string,page:int>>")
+    e = spark.createDataFrame([("a", "s", 2), ("b", "s", 2)], "id string, source string, page int")
+    assert rows(A.source_page_hits(r, e)) == [("a", True), ("b", False)]
+
+
+def test_classifiers(spark):
+    from tamizal.operators import ml as M
+
+    words = {"x": "uno dos tres", "y": "cuatro cinco seis", "z": "siete ocho nueve"}
+    df = spark.createDataFrame([(i, k, f"{w} {i % 5}") for k, w in words.items() for i in range(20)], "id int, label string, text string")
+    f = M.folds(M.features(df.coalesce(1), "text"), F.col("id"), 2).cache()
+    assert f.groupBy("id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    for kind in ("svm", "bayes", "logistic"):
+        assert M.cross_validated(f, kind, "label", 2, buckets=256, rounds=4).where("label = predicted").count() == 60
