@@ -32,6 +32,8 @@ GAIN_SEQUENCE, GAIN_SINGLE = 0.5, 4.0
 MISREAD = ("cp1252", "mac_roman", "cp437", "cp850")
 # fixed values: the first byte of an accented letter's sequence as cp1252 shows it, and the letters whose second byte shows as nothing
 LEAD, LOST = "Ã", "íàÁÍÏÐÝ"
+# fixed values: characters that a misreading leaves for letters, but that often are what they seem
+UNSEEN = "\xa0\xad"
 #: Ranges of characters that each are a class of their own; all others share classes by block.
 OWN = ((0x00, 0x250), (0x2C6, 0x2DE), (0x370, 0x530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2200, 0x2300), (0x2500, 0x25D0), (0xFB00, 0xFB07))
 
@@ -93,20 +95,21 @@ class Model:
         c = class_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
         return float(self.logp[c[:-1], c[1:]].sum())
 
-    def restore(self, run: str) -> tuple[str, bool]:
-        """The run, restored as far as possible, and whether it was damaged."""
-        if run not in self.memo:
+    def restore(self, run: str, unseen: bool = True) -> tuple[str, bool]:
+        """The run, restored as far as possible, and whether it was damaged; with unseen, blanks and invisible characters may stand for letters."""
+        key = run + "\1" * unseen
+        if key not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[run] = self._restore(run)
-        return self.memo[run]
+            self.memo[key] = self._restore(run, unseen)
+        return self.memo[key]
 
-    def _restore(self, run: str) -> tuple[str, bool]:
+    def _restore(self, run: str, unseen: bool) -> tuple[str, bool]:
         now, damaged = run, False
         for _ in range(8):
             base = self.likelihood(now)
             best, most = None, 0.0
-            for candidate, least in candidates(now):
+            for candidate, least in candidates(now, unseen):
                 gain = self.likelihood(candidate) - base
                 if gain > max(least, most):
                     best, most = candidate, gain
@@ -154,7 +157,7 @@ def sequences(run: str, to: dict[str, int]) -> str | None:
     return "".join(out) if hit else None
 
 
-def candidates(run: str) -> Iterator[tuple[str, float]]:
+def candidates(run: str, unseen: bool = True) -> Iterator[tuple[str, float]]:
     """Restored forms of a run, each with the likelihood it has to gain."""
     tables = misread_tables()
     for to, _ in tables.values():
@@ -164,7 +167,7 @@ def candidates(run: str) -> Iterator[tuple[str, float]]:
     yield from lost(run)
     for wrong, right in (("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman")):
         to, back = tables[wrong][0], tables[right][1]
-        other = {c: x for c in set(run) if c in to and (x := back[to[c]]) != c and x.isprintable()}
+        other = {c: x for c in set(run) if c in to and (x := back[to[c]]) != c and x.isprintable() and (unseen or c not in UNSEEN)}
         if len(other) > 1:
             yield "".join(other.get(c, c) for c in run), GAIN_SINGLE
         for c, x in sorted(other.items()):  # a run may hold sound characters too
@@ -227,18 +230,26 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool
         if not text or not (len(own) or "�" in text):
             out.append((text, False))
         else:
-            pieces, done, damaged = [], 0, "�" in text
-            for first, last in segments(score[begin : end - 1], own):
-                a, b = max(first - 1, done), min(last + 3, len(text))
-                now, bad = model.restore(text[a:b])
-                damaged |= bad
-                pieces += [text[done:a], now]
-                done = b
-            out.append(("".join([*pieces, text[done:]]), damaged))
+            runs = segments(score[begin : end - 1], own)
+            now, damaged = _restored(text, runs, model, False)
+            if damaged and any(c in text for c in UNSEEN):  # where letters were misread, those that left no trace may be too
+                now, _ = _restored(text, runs, model, True)
+            out.append((now, damaged or "�" in text))
         begin = end
     return out
 
 
+def _restored(text: str, runs: list[tuple[int, int]], model: Model, unseen: bool) -> tuple[str, bool]:
+    pieces, done, damaged = [], 0, False
+    for first, last in runs:
+        a, b = max(first - 1, done), min(last + 3, len(text))
+        now, bad = model.restore(text[a:b], unseen)
+        damaged |= bad
+        pieces += [text[done:a], now]
+        done = b
+    return "".join([*pieces, text[done:]]), damaged
+
+
 def repaired(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key, text (restored as far as it can be) and damaged of each distinct key.
 
