@@ -71,6 +71,14 @@ def test_search_recall(spark, data):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_registered_search_recall(spark, data):
+    from tamizal.plans import catalog
+
+    found = lambda name: {(r["query"], r["vec_id"]) for r in catalog.QUERIES[name](spark, data).collect()}
+    exact = found("dense_top10")
+    assert len(exact & found("lsh_top10")) >= 0.9 * len(exact)
+
+
 def test_neighbours_and_continuation(spark):
     r = spark.createDataFrame([("a", "s", 1, 1, "x" * 200), ("b", "s", 1, 2, "y"), ("c", "s", 2, 3, "z" * 200), ("d", "s", 2, 4, "w" * 300)], "id string, source string, page int, seq int, text string")
     hits = spark.createDataFrame([("b", "s", 1, 2)], "hit string, source string, page int, seq int")
