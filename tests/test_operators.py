@@ -218,6 +218,20 @@ def test_source_page_hits(spark):
     assert rows(A.source_page_hits(r, e)) == [("a", True), ("b", False)]
 
 
+def test_means_of_every_system(spark, data):
+    from collections import defaultdict
+
+    from tamizal.plans import catalog
+
+    category = {r["id"]: r["category"] for r in spark.read.parquet(f"{data}/question_bank.parquet").collect()}
+    seconds = defaultdict(list)
+    for r in spark.read.parquet(f"{data}/runs.parquet").select("id", "system", "elapsed_s").collect():
+        if r["id"] in category and r["elapsed_s"] is not None and r["elapsed_s"] == r["elapsed_s"]:
+            seconds[category[r["id"]], r["system"]].append(r["elapsed_s"])
+    got = {(r["category"], r["system"]): r["mean"] for r in catalog.QUERIES["variant_means"](spark, data).collect()}
+    assert got == {k: pytest.approx(sum(v) / len(v), abs=1e-6) for k, v in seconds.items()}
+
+
 def test_classifiers(spark):
     from tamizal.operators import ml as M
 
