@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 CLASSES = 2048
 #: A pair under this part of the mutual information (nats) scores above zero.
 WEIGHT = 5e-4
+#: What a pair inside a shown UTF-8 sequence scores at least, as damage may be frequent enough to have weight.
+SHOWN = 1.0
+#: A sequence's character is known if the corpus has it at least so often for each time it is shown as the sequence.
+KNOWN = 0.1
+# fixed value: where the Latin letters of common use end
+LATIN = 0x250
 #: Log-likelihood a restored run must gain: with a multi-byte sequence that fits, and without.
 GAIN_SEQUENCE, GAIN_SINGLE = 0.5, 4.0
 # fixed values: encodings by which Western texts are commonly misread
@@ -53,6 +59,11 @@ def class_table() -> np.ndarray:
     return _STATE["classes"]
 
 
+def own(c: str) -> bool:
+    """Whether the character is a class of its own, so that the class's counts are the character's."""
+    return any(a <= ord(c) < b for a, b in OWN)
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters, with a line break after each text, and where each text ends."""
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -89,12 +100,31 @@ class Model:
             score = np.log(WEIGHT / np.where(joint > 0, mutual, 1e-12))
         self.score = np.clip(np.nan_to_num(score, nan=6.0), -3.0, 6.0).astype(np.float32)
         self.logp = np.log((joint + 0.02) / (left[:, None] + 0.02 * CLASSES)).astype(np.float32)
+        self.joint, self.seen, self.uses = joint, right, left
+        self.unseen = np.log(0.02 / (left + 0.02 * CLASSES)).astype(np.float32)
         self.memo: dict[str, tuple[str, bool]] = {}
 
     def likelihood(self, text: str) -> float:
         c = class_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
         return float(self.logp[c[:-1], c[1:]].sum())
 
+    def familiarity(self, run: str, to: dict[str, int]) -> float:
+        """The likelihood that the run's UTF-8 sequences owe to being frequent, where the corpus has what they stand for beside one of the same neighbours too.
+
+        A sequence that doesn't begin with a letter (a corner of a frame, a root sign) must touch one and stand for a Latin one, and both neighbours count.
+        """
+        c = class_table()[np.frombuffer(run.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        out = 0.0
+        for i, size, shown in decoded(run, to):
+            a, b = c[i : i + size - 1], c[i + 1 : i + size]
+            r, most = class_table()[ord(shown)], KNOWN * self.joint[a, b].min()
+            before = i == 0 or self.joint[c[i - 1], r] >= most * self.joint[c[i - 1], c[i]] / max(self.uses[c[i]], 1)
+            after = i + size == len(run) or self.joint[r, c[i + size]] >= most * self.joint[c[i + size - 1], c[i + size]] / max(self.uses[c[i + size - 1]], 1)
+            touches = before and after and ord(shown) < LATIN and (run[max(i - 1, 0)].isalpha() or run[i + size : i + size + 1].isalpha())
+            if own(shown) and self.seen[r] >= most and (before or after if run[i].isalpha() else touches):
+                out += float((self.logp[a, b] - self.unseen[a]).sum())
+        return out
+
     def restore(self, run: str, unseen: bool = True) -> tuple[str, bool]:
         """The run, restored as far as possible, and whether it was damaged; with unseen, blanks and invisible characters may stand for letters."""
         key = run + "\1" * unseen
@@ -109,8 +139,8 @@ class Model:
         for _ in range(8):
             base = self.likelihood(now)
             best, most = None, 0.0
-            for candidate, least in candidates(now, unseen):
-                gain = self.likelihood(candidate) - base
+            for candidate, least, to in candidates(now, unseen):
+                gain = self.likelihood(candidate) - base + (self.familiarity(now, to) if to else 0.0)
                 if gain > max(least, most):
                     best, most = candidate, gain
             if best is None:
@@ -138,40 +168,69 @@ def misread_tables() -> dict[str, tuple[dict[str, int], dict[int, str]]]:
     return _STATE["tables"]
 
 
-def sequences(run: str, to: dict[str, int]) -> str | None:
-    """The run with every UTF-8 sequence that its characters' bytes form decoded; None if there is none."""
-    out, i, hit = [], 0, False
+def decoded(run: str, to: dict[str, int]) -> Iterator[tuple[int, int, str]]:
+    """Place, length and character of every UTF-8 sequence that the bytes of the run's characters form."""
+    i = 0
     while i < len(run):
         b = to.get(run[i], 0)
         size = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
         part = [to.get(c, 0) for c in run[i : i + size]]
         if size and len(part) == size and all(0x80 <= x < 0xC0 for x in part[1:]):
             try:
-                out.append(bytes(part).decode("utf-8"))
-                i, hit = i + size, True
+                yield i, size, bytes(part).decode("utf-8")
+                i += size
                 continue
             except UnicodeDecodeError:
                 pass
-        out.append(run[i])
         i += 1
-    return "".join(out) if hit else None
 
 
-def candidates(run: str, unseen: bool = True) -> Iterator[tuple[str, float]]:
-    """Restored forms of a run, each with the likelihood it has to gain."""
+def sequences(run: str, to: dict[str, int]) -> str | None:
+    """The run with every UTF-8 sequence that its characters' bytes form decoded; None if there is none."""
+    out, done = [], 0
+    for i, size, shown in decoded(run, to):
+        out += [run[done:i], shown]
+        done = i + size
+    return "".join([*out, run[done:]]) if out else None
+
+
+def in_sequences(codes: np.ndarray) -> np.ndarray:
+    """Of each pair of neighbours, whether both stand in UTF-8 sequences that a misreading shows as characters."""
+    if "bytes" not in _STATE:
+        size, more = np.zeros((len(MISREAD), 0x110000), dtype=np.uint8), np.zeros((len(MISREAD), 0x110000), dtype=bool)
+        for k, (to, _) in enumerate(misread_tables().values()):
+            for c, b in to.items():
+                size[k, ord(c)] = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+                more[k, ord(c)] = 0x80 <= b < 0xC0
+        _STATE["bytes"] = size, more
+    inside = np.zeros(len(codes), dtype=bool)
+    odd = np.flatnonzero(codes > 0x7F)
+    for size, more in zip(*_STATE["bytes"]):
+        for n in (2, 3, 4):
+            at = odd[size[codes[odd]] == n]
+            at = at[at + n <= len(codes)]
+            for k in range(1, n):
+                at = at[more[codes[at + k]]]
+            for k in range(n):
+                inside[at + k] = True
+    return inside[:-1] & inside[1:]
+
+
+def candidates(run: str, unseen: bool = True) -> Iterator[tuple[str, float, dict[str, int] | None]]:
+    """Restored forms of a run, each with the likelihood it has to gain, and the bytes of its characters if sequences were decoded."""
     tables = misread_tables()
     for to, _ in tables.values():
         if (found := sequences(run, to)) is not None:
-            yield found, GAIN_SEQUENCE
-            yield from lost(found)
-    yield from lost(run)
+            yield found, GAIN_SEQUENCE, to
+            yield from ((x, least, to) for x, least in lost(found))
+    yield from ((x, least, None) for x, least in lost(run))
     for wrong, right in (("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman")):
         to, back = tables[wrong][0], tables[right][1]
         other = {c: x for c in set(run) if c in to and (x := back[to[c]]) != c and x.isprintable() and (unseen or c not in UNSEEN)}
         if len(other) > 1:
-            yield "".join(other.get(c, c) for c in run), GAIN_SINGLE
+            yield "".join(other.get(c, c) for c in run), GAIN_SINGLE, None
         for c, x in sorted(other.items()):  # a run may hold sound characters too
-            yield run.replace(c, x), GAIN_SINGLE
+            yield run.replace(c, x), GAIN_SINGLE, None
 
 
 def lost(run: str) -> Iterator[tuple[str, float]]:
@@ -212,12 +271,29 @@ def segments(score: np.ndarray, flagged: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def with_shown(runs: list[tuple[int, int]], shown: list[int]) -> list[tuple[int, int]]:
+    """The runs and those of the shown pairs' positions that none holds, as a segment leaves out what doesn't raise its sum."""
+    more: list[tuple[int, int]] = []
+    k = 0
+    for at in shown:
+        while k < len(runs) and runs[k][1] < at:
+            k += 1
+        if k == len(runs) or at < runs[k][0]:
+            if more and more[-1][1] == at - 1:
+                more[-1] = more[-1][0], at
+            else:
+                more.append((at, at))
+    return sorted(runs + more) if more else runs
+
+
 def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool]]:
     """Of each text its restored form and whether it was damaged."""
     given = [t or "" for t in texts]
     codes, ends = _codes(given)
     c = class_table()[codes]
     score = model.score[c[:-1], c[1:]]
+    shown = in_sequences(codes)
+    score = np.where(shown, np.maximum(score, SHOWN), score)
     odd = codes > 0x7F
     flagged = np.flatnonzero((score > 0) & (odd[:-1] | odd[1:]))
     out: list[tuple[str | None, bool]] = []
@@ -230,7 +306,7 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool
         if not text or not (len(own) or "�" in text):
             out.append((text, False))
         else:
-            runs = segments(score[begin : end - 1], own)
+            runs = with_shown(segments(score[begin : end - 1], own), own[shown[begin : end - 1][own]].tolist())
             now, damaged = _restored(text, runs, model, False)
             if damaged and any(c in text for c in UNSEEN):  # where letters were misread, those that left no trace may be too
                 now, _ = _restored(text, runs, model, True)
@@ -240,9 +316,15 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool
 
 
 def _restored(text: str, runs: list[tuple[int, int]], model: Model, unseen: bool) -> tuple[str, bool]:
-    pieces, done, damaged = [], 0, False
+    spans: list[list[int]] = []
     for first, last in runs:
-        a, b = max(first - 1, done), min(last + 3, len(text))
+        done, b = spans[-1][1] if spans else 0, min(last + 3, len(text))
+        if first < done:  # the run before reaches into this one; a sequence isn't to be cut
+            spans[-1][1] = b
+        else:
+            spans.append([max(first - 1, done), b])
+    pieces, done, damaged = [], 0, False
+    for a, b in spans:
         now, bad = model.restore(text[a:b], unseen)
         damaged |= bad
         pieces += [text[done:a], now]

@@ -39,5 +39,15 @@ def test_round_trip(spark, corpus):
     assert {r["id"] for r in M.damaged_keys(df).collect()} == {k for k, _, _ in bad}
 
 
+@pytest.mark.parametrize("wrong", ["cp1252", "mac_roman", "cp850"])
+def test_a_third_of_the_rows_damaged(spark, corpus, wrong):
+    sound, _ = corpus
+    df = spark.createDataFrame([(k, misread(t, "utf-8", wrong) if k[0] == "n" and i % 3 == 0 else t) for i, (k, t) in enumerate(sound)], "id string, text string")
+    damaged = {k for i, (k, _) in enumerate(sound) if k[0] == "n" and i % 3 == 0}
+    got = {r["id"]: (r["text"], r["damaged"]) for r in M.repaired(df).collect()}
+    assert {k for k, (_, bad) in got.items() if bad} == damaged
+    assert {k: t for k, (t, _) in got.items()} == dict(sound)
+
+
 def test_empty(spark):
     assert M.repaired(spark.createDataFrame([], "id string, text string")).count() == 0
