@@ -187,7 +187,7 @@ def promotion_gate(spark: SparkSession, folder: str) -> DataFrame:
 def leakage_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Normalized queries that stand both in the bank and in the query log."""
     a = table(spark, folder, "question_bank").select(T.norm(F.col("query")).alias("norm"))
-    return a.intersect(table(spark, folder, "runs").where("attempt = 1").select(T.norm(F.col("query")).alias("norm")))
+    return a.intersect(table(spark, folder, "runs").select(T.norm(F.col("query")).alias("norm")))
 
 
 def query_sets(spark: SparkSession, folder: str) -> DataFrame:

@@ -116,8 +116,8 @@ def syllabus_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clause_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered clauses of each bank answer."""
-    return table(spark, folder, "runs").where("attempt = 1 and answer is not null").select("id", "system", F.size(G.clauses(F.col("answer"))).alias("clauses")).where("clauses > 0").distinct()
+    """Numbered clauses of each logged answer, every attempt counted for itself."""
+    return table(spark, folder, "runs").where("answer is not null").select("id", "system", "attempt", F.size(G.clauses(F.col("answer"))).alias("clauses")).where("clauses > 0").distinct()
 
 
 def section_ends(spark: SparkSession, folder: str) -> DataFrame:

@@ -232,6 +232,16 @@ def test_means_of_every_system(spark, data):
     assert got == {k: pytest.approx(sum(v) / len(v), abs=1e-6) for k, v in seconds.items()}
 
 
+def test_every_attempt_counts(spark, tmp_path):
+    from tamizal.plans import catalog
+
+    spark.createDataFrame([("a", "hola"), ("b", "plazas"), ("c", "nadie")], "id string, query string").write.parquet(f"{tmp_path}/question_bank.parquet")
+    runs = [("a", "V1", 1, "Hola", "1. Uno 2. Dos"), ("b", "V1", 2, "¿Plazas?", "1. Uno"), ("b", "V1", 3, "¿Plazas?", "1. Uno"), ("b", "V1", 3, "¿Plazas?", "1. Uno"), ("b", "V1", 4, "otra", "nada")]
+    spark.createDataFrame(runs, "id string, system string, attempt int, query string, answer string").write.parquet(f"{tmp_path}/runs.parquet")
+    assert rows(catalog.QUERIES["clause_counts"](spark, str(tmp_path)).select("id", "system", "attempt", "clauses")) == [("a", "V1", 1, 2), ("b", "V1", 2, 1), ("b", "V1", 3, 1)]
+    assert rows(catalog.QUERIES["leakage_overlap"](spark, str(tmp_path))) == [("hola",), ("plazas",)]
+
+
 def test_classifiers(spark):
     from tamizal.operators import ml as M
 
