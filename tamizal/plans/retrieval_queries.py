@@ -82,7 +82,7 @@ def rerank_overlap5(spark: SparkSession, folder: str) -> DataFrame:
 def global_merge6(spark: SparkSession, folder: str) -> DataFrame:
     """Three best of each label, then the six best of these."""
     rows, asked = _vectors(spark, folder)
-    near = R.dense_top_k(rows, asked, k=60).select("query", "vec_id", "score").join(rows.select("vec_id", "label"), "vec_id")
+    near = R.dense_top_k(rows, asked, k=3, part="label", every=True).select("query", "vec_id", "score").join(rows.select("vec_id", "label"), "vec_id")
     return R.merge_parts(near, "query", "label", "vec_id", "score").select("query", "vec_id", "label", "score", "part_rank", "rank")
 
 

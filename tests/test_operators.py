@@ -79,6 +79,16 @@ def test_registered_search_recall(spark, data):
     assert len(exact & found("lsh_top10")) >= 0.9 * len(exact)
 
 
+def test_merge_takes_every_label(spark, tmp_path):
+    from tamizal.plans import catalog
+
+    near = [(i, [1.0, i / 1000], "x") for i in range(1, 80) if i != 50]
+    far = [(100 + i, [0.5, 0.0], "y") for i in range(1, 5)]
+    spark.createDataFrame([(50, [1.0, 0.0], "x"), *near, *far, (201, [0.1, 0.0], None)], "vec_id bigint, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["vec_id"], r["label"]) for r in catalog.QUERIES["global_merge6"](spark, str(tmp_path)).where("query = 50").orderBy("rank").collect()]
+    assert got == [(1, "x"), (2, "x"), (3, "x"), (101, "y"), (102, "y"), (103, "y")]
+
+
 def test_neighbours_and_continuation(spark):
     r = spark.createDataFrame([("a", "s", 1, 1, "x" * 200), ("b", "s", 1, 2, "y"), ("c", "s", 2, 3, "z" * 200), ("d", "s", 2, 4, "w" * 300)], "id string, source string, page int, seq int, text string")
     hits = spark.createDataFrame([("b", "s", 1, 2)], "hit string, source string, page int, seq int")
