@@ -10,13 +10,19 @@ entity. Words above the disclosure threshold that are written as proper nouns
 are the terms; a run of such terms (with initials and particles) that isn't part
 of an institution, building, prize, square or street is a name.
 
-Words are kept as 24-bit buckets of their hash, so what the executors get is at most
-a bitmap of 2 MB whatever the corpus. All items are then replaced by typed
-placeholders.
+Words are told apart by 64-bit hashes. The counts are added up in one pass and
+only the words that can be terms are written. Up to BROADCAST_TERMS terms go to every
+executor as one sorted array; where a corpus has more, each text's own terms
+come to it by a join. Either way the rows are the same.
+
+A structured item is a protected entity itself, so what its own words disclose is all
+there is to know of it; its kind is what it is generalised to. A name is
+generalised to its kind too: the placeholder tells that a person stood there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,11 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamizal.llm.boilerplate import _sums, letter_tables
+from tamizal.session import materialize
 
 #: Share of the largest possible mutual information from which a word is a term, and the evidence it needs.
 DISCLOSURE = 0.55
 MIN_PASSAGES, MIN_PROPER, PROPER_SHARE = 3, 2, 0.5
-BITS = 24
+#: Terms that every executor gets at most (8 bytes each); beyond, they are joined to the texts that have them.
+BROADCAST_TERMS = 2_000_000
+#: Distinct words that a counting task holds before it hands its counts on.
+HELD_WORDS = 400_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # fixed values: words by which structured items are announced
@@ -79,14 +89,17 @@ PARTICLES = frozenset("de del la las los y e da do das dos di von van".split())
 BEFORE = re.compile(r"([\w.]+)[\s«\"“'(.]*$")
 
 
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The hashes of words given in folded lower-case letters."""
+    letters = np.array([ord(c) for w in words for c in w], dtype=np.uint32)
+    return _sums(letters, np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words)).view(np.int64)
 
 
-def word_buckets(words: list[str]) -> np.ndarray:
-    """The buckets of words given in folded lower-case letters."""
-    letters = np.array([ord(c) for w in words for c in w], dtype=np.uint32)
-    return _buckets(_sums(letters, np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words)))
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each hash whether it is among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(hashes), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 class _Cut:
@@ -104,7 +117,7 @@ class _Cut:
         self.begin = self.here[starts]
         self.size = np.diff(np.append(np.flatnonzero(starts), len(self.here)))
         word = np.cumsum(starts) - 1
-        self.bucket = _buckets(_sums(fold[self.here], word, len(self.begin)))
+        self.word = _sums(fold[self.here], word, len(self.begin)).view(np.int64)
         self.line = line[self.begin] if len(self.begin) else np.zeros(0, dtype=np.int64)
         self.upper = t["upper"][self.codes[self.begin]] if len(self.begin) else np.zeros(0, dtype=bool)
 
@@ -121,23 +134,31 @@ class _Cut:
 
 
 def disclosure_counts(df: DataFrame, text: str) -> DataFrame:
-    """By bucket of words: n passages, anchored (those with a structured item), inside (right after another word) and proper (of these, with a capital). Bucket -1 has the passages."""
+    """By word (hash): n passages, anchored (those with a structured item), inside (right after another word) and proper (of these, with a capital). Word 0 has the passages.
+
+    A task adds up what it has met and hands it on when it holds HELD_WORDS words, so its memory doesn't grow with the vocabulary.
+    """
     src = df.select(F.col(text).alias("t")).where("t is not null and t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, street = word_buckets(LABELS), word_buckets(STREET)
+        labels, street = np.sort(word_hashes(LABELS)), np.sort(word_hashes(STREET))
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 held.append(_count(batch.column(0).slice(start, 1000).to_pylist(), labels, street))
                 if len(held) > 20:
                     held = [_add(held)]
+                    if len(held[0][0]) > HELD_WORDS:
+                        yield _counts(held.pop())
         if held:
-            key, *counts = _add(held)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in counts)], names=["bucket", "n", "anchored", "inside", "proper"])
+            yield _counts(_add(held))
 
-    out = src.mapInArrow(run, "bucket bigint, n bigint, anchored bigint, inside bigint, proper bigint")
-    return out.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "anchored", "inside", "proper")))
+    out = src.mapInArrow(run, "word bigint, n bigint, anchored bigint, inside bigint, proper bigint")
+    return out.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "anchored", "inside", "proper")))
+
+
+def _counts(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["word", "n", "anchored", "inside", "proper"])
 
 
 def _add(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -160,10 +181,11 @@ def _count(texts: list[str], labels: np.ndarray, street: np.ndarray) -> tuple[np
     where, many, first = cut.digits()
     anchor[passage[where[(many == 9) & (first == 9) | (many == 11) & (first == 5)]]] = True
     own = passage[cut.begin]
-    anchor[own[np.isin(cut.bucket, labels)]] = True
+    label = _among(cut.word, labels)
+    anchor[own[label]] = True
     # words of addresses and of anything with digits or signs of an address inside aren't counted
-    skip = np.isin(cut.bucket, labels)
-    road = np.flatnonzero(np.isin(cut.bucket, street))
+    skip = label
+    road = np.flatnonzero(_among(cut.word, street))
     for k in range(5):
         near = road[road + k < len(own)] + k
         skip[near[own[near] == own[near - k]]] = True
@@ -172,9 +194,9 @@ def _count(texts: list[str], labels: np.ndarray, street: np.ndarray) -> tuple[np
     keep = ~skip
     spot = np.maximum(cut.begin - 2, 0)
     inside = (before[cut.begin] == 32) & (letter[codes[spot]] > 0) & keep
-    keys, where = np.unique(cut.bucket[keep], return_inverse=True)
+    keys, where = np.unique(cut.word[keep], return_inverse=True)
     counts = [np.bincount(where, x, len(keys)).astype(np.int64) for x in (np.ones(keep.sum()), anchor[own[keep]], inside[keep], (inside & cut.upper)[keep])]
-    return (np.append(keys, -1), np.append(counts[0], passages), np.append(counts[1], anchor.sum()), np.append(counts[2], 0), np.append(counts[3], 0))
+    return (np.append(keys, 0), np.append(counts[0], passages), np.append(counts[1], anchor.sum()), np.append(counts[2], 0), np.append(counts[3], 0))
 
 
 def _lengths(cut: _Cut) -> np.ndarray:
@@ -184,26 +206,48 @@ def _lengths(cut: _Cut) -> np.ndarray:
 
 
 def terms(counts: DataFrame) -> DataFrame:
-    """Buckets of the words whose disclosure reaches the threshold and that are written as proper nouns: at most 2**BITS rows."""
-    total = counts.where("bucket = -1").select(F.col("n").alias("all"), F.col("anchored").alias("with"))
-    pmi = F.log(F.col("anchored") / F.col("n") * F.col("all") / F.col("with"))
-    most = F.log(F.col("all") / F.col("with"))
-    word = counts.where((F.col("bucket") >= 0) & (F.col("n") >= MIN_PASSAGES) & (F.col("anchored") > 0) & (F.col("proper") >= MIN_PROPER) & (F.col("proper") >= PROPER_SHARE * F.col("inside")))
-    return word.join(F.broadcast(total), F.lit(True)).where(pmi >= DISCLOSURE * most).select("bucket")
+    """The words (hashes) whose disclosure reaches the threshold and that are written as proper nouns, as a written table.
+
+    The counts are made once: what can be a term is written together with the row of the totals.
+    """
+    can_be = (F.col("n") >= MIN_PASSAGES) & (F.col("anchored") > 0) & (F.col("proper") >= MIN_PROPER) & (F.col("proper") >= PROPER_SHARE * F.col("inside"))
+    kept = materialize(counts.where((F.col("word") == 0) | can_be), "words")
+    total = kept.where("word = 0").first()
+    if total is None or not total["anchored"]:
+        return kept.where("false").select("word")
+    share = total["n"] / total["anchored"]
+    pmi = F.log(F.col("anchored") / F.col("n") * share)
+    return kept.where((F.col("word") != 0) & (pmi >= DISCLOSURE * math.log(share))).select("word")
+
+
+def own_terms(src: DataFrame, chosen: DataFrame) -> DataFrame:
+    """src (k, t) with own, the terms among the words of t: for more terms than are broadcast.
+
+    Words of distinct texts are joined by equality; a text that stands in many rows is looked up once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.unique(_Cut([text]).word)
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(words), pa.string()), pa.array(words)], names=["digest", "word"])
+
+    texts = src.where("t is not null").select(F.sha2("t", 256).alias("digest"), "t").dropDuplicates(["digest"])
+    hits = texts.mapInArrow(run, "digest string, word bigint").join(chosen, "word").groupBy("digest").agg(F.collect_set("word").alias("own"))
+    return src.withColumn("digest", F.sha2("t", 256)).join(hits, "digest", "left").select("k", "t", "own")
 
 
 class Finder:
-    """Finds the items of all kinds in texts, given the terms' bitmap."""
+    """Finds the items of all kinds in texts, given the terms that may stand in them."""
 
-    def __init__(self, bitmap: np.ndarray) -> None:
-        self.bitmap = bitmap
-        self.flags = {k: word_buckets(v) for k, v in (("street", STREET), ("mail", ["arroba", "at", "punto", "dot"]), ("id", LABELS + ["ce", "cedula", "identity", "identificado", "identificada", "bilhete", "d", "c"]), ("digit", DIGIT_WORDS))}
+    def __init__(self) -> None:
+        self.flags = {k: np.sort(word_hashes(v)) for k, v in (("street", STREET), ("mail", ["arroba", "at", "punto", "dot"]), ("id", LABELS + ["ce", "cedula", "identity", "identificado", "identificada", "bilhete", "d", "c"]), ("digit", DIGIT_WORDS))}
 
-    def items(self, texts: list[str]) -> Iterator[list[tuple[int, int, int, str]]]:
+    def items(self, texts: list[str], known_terms: np.ndarray) -> Iterator[list[tuple[int, int, int, str]]]:
         """Of each text its items: line number (from 1), first and last position in the line, kind."""
         cut = _Cut(texts)
-        term = (self.bitmap[cut.bucket >> 3] >> (cut.bucket & 7)) & 1 == 1
-        flag = {k: np.isin(cut.bucket, v) for k, v in self.flags.items()}
+        term = _among(cut.word, known_terms)
+        flag = {k: _among(cut.word, v) for k, v in self.flags.items()}
         named = np.bincount(cut.line[term], minlength=cut.lines)
         street = np.bincount(cut.line[flag["street"]], minlength=cut.lines)
         spoken = np.bincount(cut.line[flag["digit"]], minlength=cut.lines)
@@ -308,25 +352,29 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", redact: bool =
     Null and empty texts have no items and, with redact, stay as they are. Null
     keys and repeated rows stay rows of their own. An empty table gives no rows. Other columns aren't read.
     """
-    chosen = terms(disclosure_counts(df, text)).collect()  # at most 2**BITS buckets
-    bitmap = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for r in chosen:
-        bitmap[r["bucket"] >> 3] |= 1 << (r["bucket"] & 7)
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    chosen = terms(disclosure_counts(df, text))
+    if chosen.count() <= BROADCAST_TERMS:
+        shared = df.sparkSession.sparkContext.broadcast(np.sort(chosen.toArrow().column("word").to_numpy()))
+        src = src.withColumn("own", F.lit(None).cast("array<bigint>"))
+    else:
+        shared = None
+        src = own_terms(src, chosen)
     kind = dict(src.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = Finder()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 texts = part.column(1).to_pylist()
+                # a term is one in every text, so those of the texts at hand are all that can be met
+                known = shared.value if shared else np.unique(part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
                 if redact:
-                    out = [t and redacted(t, items) for t, items in zip(texts, finder.items([t or "" for t in texts]))]
+                    out = [t and redacted(t, items) for t, items in zip(texts, finder.items([t or "" for t in texts], known))]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["k", "t"])
                     continue
-                rows = [(i, *x) for i, items in enumerate(finder.items([t or "" for t in texts])) for x in items]
+                rows = [(i, *x) for i, items in enumerate(finder.items([t or "" for t in texts], known)) for x in items]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 columns = [pa.array(list(x), y) for x, y in zip(zip(*((r[1], r[2] + 1, r[3] - r[2], r[4]) for r in rows)), (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
                 if rows:

@@ -51,3 +51,12 @@ def test_redacted(found):
 
 def test_empty(spark):
     assert P.find(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_terms_by_join_give_the_same(spark, found, monkeypatch):
+    df = spark.createDataFrame([(i, f"El postulante {GIVEN[i % 6]} {FAMILY[i // 6 % 6]}, DNI 4{i:07}, pide.\nTrámite {i}.") for i in range(60)] * 2 + [(99, None), (98, "")], "doc_id bigint, text string")
+    by = lambda: sorted(map(tuple, P.find(df).collect()))
+    broadcast = by()
+    monkeypatch.setattr(P, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(P, "HELD_WORDS", 5)
+    assert by() == broadcast and sum(x[-1] == "name" for x in broadcast) == 120
