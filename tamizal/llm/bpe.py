@@ -1,23 +1,30 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary.
 
 A text is cut into words by the vocabulary's public pattern, as array operations
-over many texts at once. The distinct words a partition hasn't met yet go as token-position rows into an in-process DuckDB,
+over many texts at once. The distinct words a partition hasn't met yet are cut further wherever no
+token of the vocabulary that stands in the word reaches across, since no contraction
+can do so either. The pieces go as token-position rows into an in-process DuckDB,
 where one recursive query joins adjacent tokens with the merge table, contracts
-in every word its leftmost pair of minimum rank (with the other occurrences of
-that same pair in the word, left to right, as the algorithm would do next
-anyway) and repeats until no word has a pair left; an ordered aggregation turns
+in every piece its leftmost pair of minimum rank (with the other occurrences of
+that same pair, left to right, as the algorithm would do next
+anyway) and repeats until no piece has a pair left; an ordered aggregation turns
 the rows into ids. Each text is then the concatenation of its words' ids.
 
-No shuffle: the encoding is a map over the input's partitions. Words are kept
-between batches and tasks of a Python worker, up to KEPT_WORDS, then forgotten
-and encoded anew when met again. Words over LONG_WORD bytes (unbroken runs of
-symbols or letters) are contracted by an exact heap instead, since the recursive
-query holds all its steps in memory.
+So that long pieces take few steps, a pair is also contracted when it isn't
+the minimum but nothing of lower rank can get at it: whatever token the left
+neighbour may grow into has no merge with the pair's first token of a rank as low, nor
+has the pair's second with what the right neighbour may grow into. The two tables of
+bounds are derived from the merge table. Such a pair stands until its rank is reached, so
+contracting it earlier gives the same tokens.
+
+The query keeps only the last state of every token position, so its memory grows with the
+pieces and not with the steps. No shuffle: the encoding is a map over the input's
+partitions. Words are kept between batches and tasks of a Python worker, up to
+KEPT_WORDS, then forgotten and encoded anew when met again.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -30,36 +37,34 @@ from pyspark.sql import functions as F
 
 #: Public pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Folder of the public vocabularies, read on the executors.
+#: Folder of the public vocabularies, read by the driver.
 TOKENIZERS = "/opt/tokenizers"
 KEPT_WORDS = 400_000
-LONG_WORD = 192
+#: Bytes of pieces that one query contracts together; a longer piece is a query of its own.
+QUERY_BYTES = 200_000
 
 FIXPOINT = """
-WITH RECURSIVE step(w, pos, tok, n) AS (
-    SELECT w, pos, tok, 0 FROM fresh
+WITH RECURSIVE step(w, pos, tok) USING KEY (w, pos) AS (
+    SELECT w, pos, tok FROM fresh
     UNION ALL
-    SELECT w, pos, tok, n FROM (
-        SELECT w, pos, n + 1 AS n, coalesce(CASE WHEN hit THEN merged END, tok) AS tok,
-               coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS eaten
+    SELECT w, pos, CASE WHEN hit THEN merged WHEN NOT coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) THEN tok END AS tok
+    FROM (
+        SELECT *, coalesce(safe OR at_best AND (tok <> nxt OR row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1), false) AS hit
         FROM (
-            SELECT *, at_best AND (l <> r OR row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1) AS hit
+            SELECT *, CASE WHEN at_best AND tok = nxt THEN i - row_number() OVER (PARTITION BY w, at_best AND tok = nxt ORDER BY pos) END AS run
             FROM (
-                SELECT *, CASE WHEN at_best THEN i - row_number() OVER (PARTITION BY w, at_best ORDER BY pos) END AS run
-                FROM (
-                    SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY w), false) AS at_best, min(rank) OVER (PARTITION BY w) AS best
-                    FROM (
-                        SELECT p.*, m.rank, m.merged, m.l, m.r
-                        FROM (SELECT w, pos, tok, n, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
-                                     row_number() OVER (PARTITION BY w ORDER BY pos) AS i FROM step) p
-                        LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-                    )
-                ) WHERE best IS NOT NULL
-            )
+                SELECT p.w, p.pos, p.tok, p.nxt, p.i, m.merged, min(m.rank) OVER (PARTITION BY p.w) AS best, coalesce(m.rank = best, false) AS at_best,
+                       p.tok <> p.nxt AND m.rank < coalesce(a.least, 2147483647) AND m.rank < coalesce(b.least, 2147483647) AS safe
+                FROM (SELECT w, pos, tok, lag(tok) OVER place AS prv, lead(tok) OVER place AS nxt, lead(tok, 2) OVER place AS far, row_number() OVER place AS i
+                      FROM step WHERE tok IS NOT NULL WINDOW place AS (PARTITION BY w ORDER BY pos)) p
+                LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+                LEFT JOIN before_pair a ON a.grown = p.prv AND a.tok = p.tok
+                LEFT JOIN behind_pair b ON b.tok = p.nxt AND b.grown = p.far
+            ) WHERE best IS NOT NULL
         )
-    ) WHERE NOT eaten
-), last AS (SELECT w, max(n) AS n FROM step GROUP BY w)
-SELECT step.w, list(step.tok ORDER BY step.pos) AS ids FROM step JOIN last ON step.w = last.w AND step.n = last.n GROUP BY step.w ORDER BY step.w
+    )
+)
+SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE tok IS NOT NULL GROUP BY w ORDER BY w
 """
 
 
@@ -121,20 +126,53 @@ def character_classes() -> np.ndarray:
     return _CLASSES[0]
 
 
+def _automaton(tokens: list[bytes]):  # noqa: ANN202
+    """Finds all tokens that stand in a word, written as Latin-1."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for t in tokens:
+        found.add_word(t.decode("latin-1"), len(t))
+    found.make_automaton()
+    return found
+
+
+def _bounds(left: list[int], right: list[int], merged: list[int], spelled: dict[int, bytes]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """The lowest rank with which what a token may grow into, leftwards or rightwards, merges with a neighbour.
+
+    First by (token, its right neighbour), then by (token, its left neighbour).
+    """
+    known = {t: i for i, t in spelled.items()}
+    before: dict[tuple[int, int], int] = {}
+    behind: dict[tuple[int, int], int] = {}
+    for k, (a, b) in enumerate(zip(left, right)):
+        x, y = spelled[a], spelled[b]
+        for own, pairs in ((before, ((known.get(x[i:]), b) for i in range(len(x)))), (behind, ((known.get(y[: len(y) - i]), a) for i in range(len(y))))):
+            for pair in pairs:
+                if pair[0] is not None:
+                    own.setdefault(pair, k)  # ranks rise, so the first is the lowest
+    return before, behind
+
+
 class Encoder:
-    """Words to ids, for one vocabulary file and one Python worker."""
+    """Words to ids, for one vocabulary and one Python worker."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, content: bytes) -> None:
         import duckdb
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(content)["model"]
         vocab, letters = model["vocab"], byte_letters()
+        back = {c: b for b, c in letters.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.byte_id = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int32)
         left, right = ([vocab[m[i]] for m in pairs] for i in (0, 1))
         merged = [vocab[m[0] + m[1]] for m in pairs]
-        self.rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(zip(left, right, merged))}
+        spelled = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
+        self.cuts = _automaton([t for t in spelled.values() if len(t) > 1])
+        # bounds say what is safe where every token is made by one merge, which comes before all that use it
+        made = {c: k for k, c in enumerate(merged)}
+        sound = len(made) == len(merged) and all(made.get(t, -1) < k for k, pair in enumerate(zip(left, right)) for t in pair)
+        self.query = FIXPOINT if sound else FIXPOINT.replace(" AS safe", " AND false AS safe")
         draw = np.random.default_rng(8)
         self.letter = draw.integers(1, 2**63, 0x110000, dtype=np.uint64) | np.uint64(1)
         self.power = draw.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -142,6 +180,10 @@ class Encoder:
         table = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(range(len(left)), pa.int32()), "merged": pa.array(merged, pa.int32())})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        for name, bounds in zip(("before_pair", "behind_pair"), _bounds(left, right, merged, spelled)):
+            grown, tok, least = (pa.array(x, pa.int32()) for x in (zip(*((*k, v) for k, v in bounds.items())) if bounds else ((), (), ())))
+            self.db.register("bound_rows", pa.table({"grown": grown, "tok": tok, "least": least}))
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM bound_rows")
         self._forget()
 
     def _forget(self) -> None:
@@ -151,54 +193,54 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode words that aren't known yet and keep them."""
-        found: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            raw = w.encode()
-            if len(raw) > LONG_WORD:
-                found[i] = self._contract(raw)
-            else:
-                short.append((i, raw))
-        for start in range(0, len(short), 20_000):
-            self._recursive(short[start : start + 20_000], found)
+        raw = [w.encode() for w in words]
+        pieces, own = [], []
+        for i, w in enumerate(raw):
+            for piece in self._pieces(w):
+                pieces.append(piece)
+                own.append(i)
+        found: list[np.ndarray] = []
+        first = held = 0
+        for i, piece in enumerate([*pieces, None]):
+            if i > first and (piece is None or held + len(piece) > QUERY_BYTES):
+                found += self._recursive(pieces[first:i])
+                first, held = i, 0
+            held += len(piece or b"")
+        count = np.bincount(own, [len(x) for x in found], len(words)).astype(np.int64) if own else np.zeros(len(words), dtype=np.int64)
         self.index = self.index.append(pd.Index(hashes))
         self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)])
         self.char_at = np.concatenate([self.char_at, self.char_at[-1] + np.cumsum([len(w) for w in words])])
         self.ids = np.concatenate([self.ids, *found])
-        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in found])])
-
-    def _recursive(self, words: list[tuple[int, bytes]], found: list[np.ndarray]) -> None:
-        size = np.array([len(raw) for _, raw in words], dtype=np.int64)
+        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(count)])
+
+    def _pieces(self, word: bytes) -> list[bytes]:
+        """The word cut where no token that stands in it reaches across."""
+        if len(word) < 3:
+            return [word]
+        open_ = np.zeros(len(word) + 1, dtype=np.int32)
+        for end, size in self.cuts.iter(word.decode("latin-1")):
+            open_[end - size + 1] += 1
+            open_[end] -= 1
+        cut = np.flatnonzero(np.cumsum(open_)[: len(word) - 1] == 0) + 1
+        if not len(cut):
+            return [word]
+        at = [0, *cut.tolist(), len(word)]
+        return [word[x:y] for x, y in zip(at, at[1:])]
+
+    def _recursive(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece, by the recursive query; pieces that are equal are contracted once."""
+        place: dict[bytes, int] = {}
+        at = [place.setdefault(x, len(place)) for x in pieces]
+        size = np.array([len(x) for x in place], dtype=np.int64)
         first = np.repeat(np.cumsum(size) - size, size)
-        tok = self.byte_id[np.frombuffer(b"".join(raw for _, raw in words), dtype=np.uint8)]
-        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": (np.arange(size.sum()) - first).astype(np.int32), "tok": tok})
+        tok = self.byte_id[np.frombuffer(b"".join(place), dtype=np.uint8)]
+        rows = pa.table({"w": np.repeat(np.arange(len(place), dtype=np.int32), size), "pos": (np.arange(size.sum()) - first).astype(np.int32), "tok": tok})
         self.db.register("fresh", rows)
-        result = self.db.sql(FIXPOINT).to_arrow_table()
+        result = self.db.sql(self.query).to_arrow_table()
         self.db.unregister("fresh")
         ids = result.column("ids").combine_chunks()
-        flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-        for i, k in enumerate(result.column("w").to_numpy()):
-            found[words[k][0]] = flat[offsets[i] : offsets[i + 1]].astype(np.int32)
-
-    def _contract(self, raw: bytes) -> np.ndarray:
-        """The same contraction for one long word, in n log n steps."""
-        tok = [int(x) for x in self.byte_id[np.frombuffer(raw, dtype=np.uint8)]]
-        after, before = [*range(1, len(tok)), -1], [*range(-1, len(tok) - 1)]
-        heap = [(self.rank[p][0], i, *p) for i, p in enumerate(zip(tok, tok[1:])) if p in self.rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] != a or j < 0 or tok[j] != b:
-                continue
-            tok[i], tok[j] = self.rank[a, b][1], -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y >= 0 and (p := (tok[x], tok[y])) in self.rank:
-                    heapq.heappush(heap, (self.rank[p][0], x, *p))
-        return np.array([t for t in tok if t >= 0], dtype=np.int32)
+        flat, offsets = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
+        return [flat[offsets[i] : offsets[i + 1]] for i in at]
 
     def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The place of each word of the texts among the known ones; each text's number of words."""
@@ -263,13 +305,22 @@ def _blocks(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, lis
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
+def encoder(path: str, content: bytes | None = None) -> Encoder:
+    """This worker's encoder of a vocabulary, from the file's content or the file itself."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        _ENCODERS[path] = Encoder(content)
     return _ENCODERS[path]
 
 
+def _shipped(df: DataFrame, path: str):  # noqa: ANN202
+    """The vocabulary file as a broadcast (some 2 MB), so that only the driver must have it."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
     """key and ids (array<int>) of each row of df, without special tokens.
 
@@ -278,11 +329,12 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     text are ordinary text. Other columns aren't read.
     """
     path = os.path.join(folder, vocabulary)
+    shared = _shipped(df, path)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(src.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, shared.value)
         for batch in batches:
             for first, texts in _blocks(batch.column(1)):
                 ids, counts = enc.encode(texts)
@@ -296,14 +348,31 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
     """key and tokens (int), the number of ids encode_corpus gives; 0 for an empty or null text."""
     path = os.path.join(folder, vocabulary)
+    shared = _shipped(df, path)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(src.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, shared.value)
         for batch in batches:
             for first, texts in _blocks(batch.column(1)):
                 sizes = pa.array(enc.lengths(texts).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), sizes], names=["k", "tokens"])
 
     return src.mapInArrow(run, f"k {kind}, tokens int").select(F.col("k").alias(key), "tokens")
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+    """key and text of each row of df, from its ids; the text of null or no ids is empty, of bytes that are no UTF-8 the replacement character."""
+    shared = _shipped(df, os.path.join(folder, vocabulary))
+    src = df.select(F.col(key).alias("k"), F.col(ids).alias("i"))
+    kind = dict(src.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = {c: b for b, c in byte_letters().items()}
+        spelled = {i: bytes(back[c] for c in t) for t, i in json.loads(shared.value)["model"]["vocab"].items() if all(c in back for c in t)}
+        for batch in batches:
+            texts = [b"".join(map(spelled.__getitem__, x or ())).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "t"])
+
+    return src.mapInArrow(run, f"k {kind}, t string").select(F.col("k").alias(key), F.col("t").alias("text"))

@@ -15,6 +15,13 @@ ORACLES: dict[str, str] = {
         SELECT run_day, pred_category, n, q, elapsed_s AS value, 0.0::DOUBLE AS rank_error
         FROM v, {_RANKS} WHERE place = greatest(1, ceil(round(q * n, 9)))
     """,
+    # every percentile's true rank must lie within the stated bound; groups and counts are counted here
+    "p1_rank_bounds": f"""
+        WITH v AS (SELECT pred_category, unnest([{{'period': 'day', 'begins': run_day}}, {{'period': 'month', 'begins': date_trunc('month', run_day)::DATE}}, {{'period': 'all', 'begins': NULL::DATE}}], recursive := true)
+                   FROM runs WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s)),
+        g AS (SELECT period, begins, pred_category, count(*) AS n FROM v GROUP BY ALL)
+        SELECT period, begins, pred_category, q, n, true AS within FROM g, {_RANKS}
+    """,
     "p3_found": """
         WITH rows AS (SELECT DISTINCT id, source, text FROM vacantes WHERE source IS NOT NULL AND id IS NOT NULL),
         total AS (SELECT source, count(DISTINCT id) AS documents FROM rows GROUP BY source),
@@ -26,4 +33,6 @@ ORACLES: dict[str, str] = {
         FROM lines l JOIN often o ON o.source = l.source AND o.letters = l.letters JOIN total t ON t.source = l.source
         WHERE o.documents >= 10 AND o.documents * 10 >= t.documents
     """,
+    # what the ids decode to is the text itself
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
 }

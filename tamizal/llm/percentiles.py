@@ -152,6 +152,22 @@ def summarize(df: DataFrame, keys: Sequence[str], value: str, k: int = BUFFER, f
     return out.select(*(F.col(o).alias(c) for o, c in zip(own, keys)), "tail", "levels", "n", "err")
 
 
+def merge_tree(summaries: DataFrame, keys: Sequence[str], k: int = BUFFER, fan_in: int = FAN_IN) -> DataFrame:
+    """Like merge_summaries, for groups of any number of summaries: in rounds that combine some fan_in for each task.
+
+    summaries is read twice (first the greatest number in a group is counted) and should be a written table. A summary's
+    place in the tree follows from its content, so a task that is repeated does the same.
+    """
+    most = summaries.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    out = summaries.select(*keys, "tail", "levels", "n", "err")
+    parts = math.ceil(most / fan_in)
+    while parts > 1:
+        part = F.pmod(F.xxhash64("n", "err", "tail", F.lit(parts)), F.lit(parts)).alias("part_")
+        out = merge_summaries(out.select(*keys, part, "tail", "levels", "n", "err"), [*keys, "part_"], k).drop("part_")
+        parts = math.ceil(parts / fan_in)
+    return merge_summaries(out, keys, k)
+
+
 def merge_summaries(summaries: DataFrame, keys: Sequence[str], k: int = BUFFER) -> DataFrame:
     """Combine all summaries of each group of keys into one; the result is again mergeable."""
     own = [f"g{i}" for i in range(len(keys))]
@@ -160,9 +176,14 @@ def merge_summaries(summaries: DataFrame, keys: Sequence[str], k: int = BUFFER)
 
     def combine(key: tuple, table: pa.Table) -> pa.Table:
         s = Summary(k)
-        rows = sorted(table.select(["tail", "levels", "n", "err"]).to_pylist(), key=lambda r: (-r["n"], r["err"], r["tail"]))
-        for r in rows:
-            s.merge(np.asarray(r["tail"], dtype=float), [(x["level"], x["flip"], np.asarray(x["vals"], dtype=float)) for x in r["levels"]], r["n"], r["err"])
+        rows = []
+        for batch in table.select(["tail", "levels", "n", "err"]).to_batches():
+            tails, levels = batch.column("tail"), batch.column("levels")
+            numbers = zip(batch.column("n").to_pylist(), batch.column("err").to_pylist())
+            rows += [(-n, err, tails[i].values.to_numpy(zero_copy_only=False), levels[i].values) for i, (n, err) in enumerate(numbers)]
+        for n, err, tail, own_levels in sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes())):
+            level, flip, vals = (own_levels.field(x) for x in ("level", "flip", "vals"))
+            s.merge(tail, [(x, f, vals[i].values.to_numpy(zero_copy_only=False)) for i, (x, f) in enumerate(zip(level.to_pylist(), flip.to_pylist()))], -n, err)
         return pa.Table.from_pylist([{**{o: v.as_py() for o, v in zip(own, key)}, **s.parts()}], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamizal.llm import boilerplate, bpe, confusables, mojibake, packing, percentiles, pii, qa_pairs
+from tamizal.session import materialize
 from tamizal.sources.tables import spread
 
 PROBS = (0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -23,16 +24,24 @@ def _day_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.summarize(_table(spark, folder, "runs"), ["run_day", "pred_category"], "elapsed_s")
 
 
-def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of elapsed_s by pred_category for each day, month and over all days, the longer periods from the days' summaries."""
-    day = F.col("run_day")
-    periods = F.array(
+def _periods(day: Column) -> Column:
+    """The periods that a day belongs to."""
+    return F.array(
         F.struct(F.lit("day").alias("period"), day.alias("begins")),
         F.struct(F.lit("month").alias("period"), F.trunc(day, "month").alias("begins")),
         F.struct(F.lit("all").alias("period"), F.lit(None).cast("date").alias("begins")),
     )
-    days = _day_summaries(spark, folder).select(F.explode(periods).alias("p"), "pred_category", "tail", "levels", "n", "err").select("p.*", "pred_category", "tail", "levels", "n", "err")
-    return percentiles.percentiles(percentiles.merge_summaries(days, ["period", "begins", "pred_category"]), PROBS)
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of elapsed_s by pred_category for each day, month and over all days: months from the days' summaries, all days from the months'."""
+    parts = ["pred_category", "tail", "levels", "n", "err"]
+    days = materialize(_day_summaries(spark, folder), "days")
+    months = materialize(percentiles.merge_tree(days.select(F.trunc("run_day", "month").alias("month"), *parts), ["month", "pred_category"]), "months")
+    whole = percentiles.merge_tree(months.select(*parts), ["pred_category"])
+    kinds = (("day", days, F.col("run_day")), ("month", months, F.col("month")), ("all", whole, F.lit(None).cast("date")))
+    every = [df.select(F.lit(name).alias("period"), begins.alias("begins"), *parts) for name, df, begins in kinds]
+    return percentiles.percentiles(every[0].unionByName(every[1]).unionByName(every[2]), PROBS)
 
 
 def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +49,23 @@ def p1_day_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(_day_summaries(spark, folder), PROBS)
 
 
+def p1_rank_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each percentile of p1_percentiles, the values counted and whether its true rank lies within the stated bound, by counting all runs anew.
+
+    Each value is held against the percentiles of its group and period, of which there are as many as PROBS.
+    """
+    found = materialize(p1_percentiles(spark, folder), "percentiles")
+    runs = _table(spark, folder, "runs", "run_day", "pred_category", "elapsed_s").where("elapsed_s is not null and not isnan(elapsed_s)")
+    each = runs.select("pred_category", F.col("elapsed_s").alias("v"), F.explode(_periods(F.col("run_day"))).alias("p")).select("p.*", "pred_category", "v")
+    lists = found.groupBy("period", "begins", "pred_category").agg(F.collect_list(F.struct("q", "value", "n", "rank_error")).alias("found"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("period", "begins", "pred_category")]
+    pairs = each.alias("e").join(lists.alias("l"), same[0] & same[1] & same[2]).select("e.period", "e.begins", "e.pred_category", "v", F.explode("l.found").alias("f"))
+    ranks = pairs.groupBy("period", "begins", "pred_category", "f").agg(F.sum((F.col("v") < F.col("f.value")).cast("long")).alias("below"), F.sum((F.col("v") <= F.col("f.value")).cast("long")).alias("upto"))
+    target = F.greatest(F.lit(1), F.ceil(F.round(F.col("f.q") * F.col("f.n"), 9)))
+    within = (F.col("below") + 1 - F.col("f.rank_error") <= target) & (target <= F.col("upto") + F.col("f.rank_error"))
+    return ranks.select("period", "begins", "pred_category", "f.q", "f.n", within.alias("within"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Vacantes ids whose text holds wrongly decoded characters."""
     return mojibake.damaged_keys(_table(spark, folder, "vacantes", "id", "text"))
@@ -92,6 +118,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of every document's text as its ids give it back."""
+    return bpe.decode_corpus(p6_ids(spark, folder)).select("doc_id", F.md5("text").alias("md5"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's parts and their containers, for each capacity of context_windows."""
     return packing.pack(bpe.count_tokens(_table(spark, folder, "documents", "doc_id", "text")), _table(spark, folder, "context_windows"))
@@ -118,5 +149,5 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
 }

@@ -32,6 +32,22 @@ def test_like_the_library(library):
     assert mine(texts) == [library(t) for t in texts]
 
 
+def test_long_words(library):
+    """Unbroken runs: letters of 180, base64, DNA, digits, one letter, and a word of a million bytes."""
+    random.seed(6)
+    draw = lambda letters, k: "".join(random.choices(letters, k=k))
+    lower, base64 = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
+    texts = [" ".join(draw(lower, 180) for _ in range(500)), draw(base64, 1_000_000), draw("ACGT", 20_000), draw("01", 20_000), draw("0123456789", 5_000), "x" * 100_001, "-" * 3001 + "=" * 2000, "ab" * 9999, "日本語" * 3000]
+    assert mine(texts) == [library(t) for t in texts]
+
+
+def test_unsound_bounds_change_nothing(library):
+    e = B.Encoder(open(PATH, "rb").read())
+    e.query = B.FIXPOINT.replace(" AS safe", " AND false AS safe")
+    text = "La inscripción de 1234567 postulantes aaaaaaa xyxyxyx ACGTTGCA"
+    assert e.encode([text])[0].tolist() == library(text)
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(B, "KEPT_WORDS", 3)
     texts = ["uno dos tres cuatro", "cinco seis siete", "uno dos"]

@@ -43,3 +43,17 @@ def test_exact_while_small_and_mergeable(spark):
 def test_empty(spark):
     assert P.summarize(spark.createDataFrame([], "day int, x double"), ["day"], "x").count() == 0
     assert P.percentiles(P.summarize(spark.createDataFrame([(1, None)], "day int, x double"), ["day"], "x"), [0.5]).count() == 0
+
+
+def test_tree_of_many_summaries(spark):
+    values = np.random.default_rng(3).normal(size=20_000)
+    df = spark.createDataFrame([(i % 90, "a", float(v)) for i, v in enumerate(values)], "day int, c string, x double")
+    days = P.summarize(df, ["day", "c"], "x", k=64)
+    whole = P.merge_tree(days, ["c"], k=64, fan_in=4)
+    ordered = np.sort(values)
+    rows = P.percentiles(whole, [0.05, 0.5, 0.95]).collect()
+    assert whole.first()["n"] == 20_000 and len(rows) == 3
+    for r in rows:
+        assert 0 < r["rank_error"] <= 20_000 * np.log2(20_000 / 64) / 64
+        assert abs(np.searchsorted(ordered, r["value"]) + 1 - np.ceil(r["q"] * 20_000)) <= r["rank_error"]
+    assert P.merge_tree(days.where("false"), ["c"]).count() == 0
