@@ -43,6 +43,9 @@ UNSEEN = "\xa0\xad"
 #: Ranges of characters that each are a class of their own; all others share classes by block.
 OWN = ((0x00, 0x250), (0x2C6, 0x2DE), (0x370, 0x530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2200, 0x2300), (0x2500, 0x25D0), (0xFB00, 0xFB07))
 
+#: Keys that are broadcast at most to choose rows; beyond, the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
 _STATE: dict[str, object] = {}
 
 
@@ -246,29 +249,28 @@ def broken(text: str) -> bool:
 
 
 def segments(score: np.ndarray, flagged: np.ndarray) -> list[tuple[int, int]]:
-    """The maximum-scoring segments (first, last position) that hold a flagged position.
+    """All maximal scoring segments (first, last position), where only the flagged positions may score above zero.
 
-    Scores are summed up in one pass; a segment ends where what follows it costs
-    more than it has gained, so each is a maximal run of positive sum.
+    Exact and in one pass: each flagged position is put to the segments before it. The nearest one whose
+    sum up to its begin is lower takes it in with all between them if that raises its own sum.
     """
-    found: list[tuple[int, int]] = []
-    upto = np.cumsum(score)
-    first = last = -1
-    begun = top = 0.0
+    gains = np.minimum(score, 0.0)
+    gains[flagged] = score[flagged]
+    upto = np.cumsum(gains)
+    found: list[tuple[float, float, int, int]] = []
     for at in flagged.tolist():
-        here = float(upto[at])
-        before = here - float(score[at])
-        if first >= 0 and before - begun > 0 and top - before < 4.0:
-            if here > top:
-                top, last = here, at
-        else:
-            if first >= 0:
-                found.append((first, last))
-            first = last = at
-            begun, top = before, here
-    if first >= 0:
-        found.append((first, last))
-    return found
+        high, first = float(upto[at]), at
+        low = high - float(gains[at])
+        while True:
+            k = len(found) - 1
+            while k >= 0 and found[k][0] >= low:
+                k -= 1
+            if k < 0 or found[k][1] >= high:
+                found.append((low, high, first, at))
+                break
+            low, first = found[k][0], found[k][2]
+            del found[k:]
+    return [(first, last) for _, _, first, last in found]
 
 
 def with_shown(runs: list[tuple[int, int]], shown: list[int]) -> list[tuple[int, int]]:
@@ -292,7 +294,8 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool
     codes, ends = _codes(given)
     c = class_table()[codes]
     score = model.score[c[:-1], c[1:]]
-    shown = in_sequences(codes)
+    lost_for_good = codes == 0xFFFD
+    shown = in_sequences(codes) | lost_for_good[:-1] | lost_for_good[1:]
     score = np.where(shown, np.maximum(score, SHOWN), score)
     odd = codes > 0x7F
     flagged = np.flatnonzero((score > 0) & (odd[:-1] | odd[1:]))
@@ -302,15 +305,15 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[str | None, bool
     for k, (text, end) in enumerate(zip(texts, ends)):
         own = flagged[(upto[k - 1] if k else 0) : upto[k]] - begin
         if len(own):
-            own = own[own < len(text) - 1] if text else own[:0]
-        if not text or not (len(own) or "�" in text):
+            own = own[own < len(text)] if text else own[:0]  # the last pair is that with the end of the text
+        if not text or not len(own):
             out.append((text, False))
         else:
             runs = with_shown(segments(score[begin : end - 1], own), own[shown[begin : end - 1][own]].tolist())
             now, damaged = _restored(text, runs, model, False)
             if damaged and any(c in text for c in UNSEEN):  # where letters were misread, those that left no trace may be too
                 now, _ = _restored(text, runs, model, True)
-            out.append((now, damaged or "�" in text))
+            out.append((now, damaged))
         begin = end
     return out
 
@@ -332,16 +335,20 @@ def _restored(text: str, runs: list[tuple[int, int]], model: Model, unseen: bool
     return "".join([*pieces, text[done:]]), damaged
 
 
-def repaired(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def repaired(df: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """key, text (restored as far as it can be) and damaged of each distinct key.
 
     A null or empty text is not damaged. Rows that repeat a key count once (one of
     them, whichever, if they differ); rows with null key are left out. The pair table, at most
-    CLASSES**2 numbers, goes to every executor.
+    CLASSES**2 numbers, goes to every executor. With only, a table of keys, the pairs of all rows are counted
+    and the rows with these keys are restored.
     """
     rows = pair_counts(df, text).toPandas()
     a, b, n = (rows[c].to_numpy() for c in ("a", "b", "n"))
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null")
+    if only is not None:
+        few = only.select(F.col(key).alias("k")).distinct()
+        src = src.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few, "k", "left_semi")
     kind = dict(src.dtypes)["k"]
     shared = df.sparkSession.sparkContext.broadcast((a.astype(np.int32), b.astype(np.int32), n.astype(np.int64)))
 
@@ -356,6 +363,6 @@ def repaired(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return src.mapInArrow(run, f"k {kind}, t string, damaged boolean").select(F.col("k").alias(key), F.col("t").alias(text), "damaged")
 
 
-def damaged_keys(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """The distinct keys whose text is damaged."""
-    return repaired(df, key, text).where("damaged").select(key).distinct()
+def damaged_keys(df: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """The distinct keys whose text is damaged; with only, among these keys."""
+    return repaired(df, key, text, only).where("damaged").select(key).distinct()

@@ -95,15 +95,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return qa_pairs.defects(_table(spark, folder, "runs"))
 
 
+def _spellings(spark: SparkSession, folder: str, tbl: str) -> DataFrame:
+    """The rows of a table whose text is spelled in several ways; damaged texts form no pairs, so those among them go."""
+    if tbl == "queries":
+        return confusables.spelled_differently(_table(spark, folder, "queries"), "id", "query")
+    vacantes = _table(spark, folder, "vacantes", "id", "text")
+    rows = confusables.spelled_differently(vacantes, "id", "text")
+    damaged = mojibake.damaged_keys(vacantes, only=rows.select(F.col("key").alias("id")))
+    return materialize(rows.join(damaged.select(F.col("id").alias("key")), "key", "left_anti"), "sound")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of queries and pairs of vacantes that read the same but are spelled with other characters; damaged texts form none."""
-    vacantes = _table(spark, folder, "vacantes", "id", "text")
-    damaged = mojibake.damaged_keys(vacantes)
-    pairs = confusables.look_alikes(vacantes, "id", "text")
-    for side in ("key_a", "key_b"):
-        pairs = pairs.join(damaged.select(F.col("id").alias(side)), side, "left_anti")
-    asked = confusables.look_alikes(_table(spark, folder, "queries"), "id", "query")
-    return asked.select(F.lit("queries").alias("tbl"), "key_a", "key_b").unionByName(pairs.select(F.lit("vacantes").alias("tbl"), "key_a", "key_b"))
+    found = [confusables.pairs(_spellings(spark, folder, tbl)).select(F.lit(tbl).alias("tbl"), "key_a", "key_b") for tbl in ("queries", "vacantes")]
+    return found[0].unionByName(found[1])
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each query and segment whose text is spelled in several ways, its class: the least key of those that read the same, and how many there are."""
+    found = [confusables.classes(_spellings(spark, folder, tbl)).withColumn("tbl", F.lit(tbl)) for tbl in ("queries", "vacantes")]
+    return found[0].unionByName(found[1])
 
 
 def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,5 +160,5 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
 }

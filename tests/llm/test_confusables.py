@@ -16,6 +16,14 @@ def test_forms():
     assert C.form(None) is None and C.form("") == ""
 
 
+def test_every_script():
+    """Styled letters, Roman numerals and look-alikes of all scripts with letters of Latin shape, mixed and in whole words."""
+    for a, b in [("𝐇𝐨𝐥𝐚", "Hola"), ("ℋola", "Hola"), ("Ⅻ", "XII"), ("paypaⅼ", "paypal"), ("ɡato", "gato"), ("հola", "hola"), ("Ꮋola", "Hola"), ("ꓮꓠꓮ", "ANA"), ("ᎪΝА", "ANA"), ("ⲟⲥⲟ", "oco"), ("𝟐𝟎𝟐𝟔", "2026"), ("օսո", "oun"), ("ᴏᴠ", "ov")]:
+        assert C.form(a) == b, (a, C.form(a))
+    for own in ("①", "ʜola", "Ω", "אב", "日本", "м²"):
+        assert C.form(own) == own
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aеοñÑ́̃ \xa0​ﬁＡ１‑\n\r\tвνΩº½ß"), max_size=12))
 def test_idempotent(text):
@@ -29,3 +37,11 @@ def test_pairs(spark):
     assert got == {("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4")}
     assert C.with_form(df, "text", "key").where("id = 3").first()["key"] == "hola peña"
     assert C.look_alikes(spark.createDataFrame([], df.schema), "id", "text").count() == 0
+    rows = C.classes(C.spelled_differently(df, "id", "text"))
+    assert sorted(map(tuple, rows.collect())) == [(k, "1", 3, 4) for k in "1234"]
+
+
+def test_a_third_of_the_rows_read_the_same(spark):
+    """Copies of one text under many ids: copies aren't paired, each other spelling is paired with every one."""
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN concat('texto ', id) WHEN id = 300 THEN 'lа peña' ELSE 'la peña' END AS text")
+    assert C.look_alikes(df, "id", "text").count() == 999

@@ -51,3 +51,27 @@ def test_a_third_of_the_rows_damaged(spark, corpus, wrong):
 
 def test_empty(spark):
     assert M.repaired(spark.createDataFrame([], "id string, text string")).count() == 0
+
+
+def test_segments_are_maximal():
+    """Against brute force: each segment is the best interval of what the earlier ones leave, till none gains."""
+    import numpy as np
+
+    def best(score, a, b):
+        options = [(-sum(score[x : y + 1]), y - x, x, y) for x in range(a, b) for y in range(x, b) if sum(score[x : y + 1]) > 0]
+        if not options:
+            return []
+        _, _, x, y = min(options)
+        return [*best(score, a, x), (x, y), *best(score, y + 1, b)]
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        score = np.round(rng.normal(-0.3, 2, rng.integers(1, 18)), 3)
+        assert M.segments(score, np.flatnonzero(score > 0)) == best(score.tolist(), 0, len(score))
+
+
+def test_only_some_keys(spark, corpus):
+    rows, bad = corpus
+    df = spark.createDataFrame([*rows, *((k, t) for k, t, _ in bad)], "id string, text string")
+    few = spark.createDataFrame([("b00",), ("n1",), ("t1",)], "id string")
+    assert {r["id"] for r in M.damaged_keys(df, only=few).collect()} == {"b00", "t1"}
