@@ -82,11 +82,16 @@ def _repeated(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of vacantes that stand in a large share of their source."""
-    return _repeated(spark, folder).where("kind = 'same'").select("id", "line_no")
+    return _repeated(spark, folder)
+
+
+def p3_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of vacantes that are other wordings of a line that stands, with these, in a large share of the source."""
+    return boilerplate.near_lines(_table(spark, folder, "vacantes", "id", "text", "source"))
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Each vacantes id with its text freed of repeated lines and near copies of them."""
+    """Each vacantes id with its text freed of the lines repeated within its source."""
     return boilerplate.without_repeated(_table(spark, folder, "vacantes", "id", "text"), _repeated(spark, folder))
 
 
@@ -160,5 +165,5 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_near, p3_cleaned, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
 }
