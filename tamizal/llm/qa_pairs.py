@@ -1,12 +1,15 @@
 """Defective pairs of a prompt and its response, each with the type of its defect.
 
 Responses are sorted by question and text over the whole corpus, so that a
-response that was cut off stands right before its longer versions: if its
-neighbour goes on inside a word, number or date, it is a shortened one. Lengths
+response that was cut off stands before its longer versions: the responses that are
+prefixes of the present one are kept open, and one that goes on inside its last word, number or
+date is a shortened one. Lengths
 at which far more responses end unfinished than at the lengths around them are
 limits of the writer, and an unfinished response of such a length is cut off
-too. Then rules on a pair alone find empty responses, other broken-off ends,
-copies of the question, refusals, and responses in another language.
+too. On the same way each response's opening clause is noted, without courtesies, names and numbers:
+a clause that opens responses to questions of unlike topics answers none of them, so a response that
+begins with it and gives no number of its own declines. Then rules on a pair alone find empty responses, other broken-off ends,
+copies of the question, refusals of known wording, and responses in another language.
 
 The types exclude each other and are tried in the order empty, copy, refusal,
 language, truncated.
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamizal.session import materialize
@@ -29,6 +32,8 @@ from tamizal.session import materialize
 BROADCAST_ROWS = 500_000
 #: A length is a limit if so many unfinished responses have it and so many times as many as the lengths around it have.
 SPIKE_ROWS, SPIKE_TIMES = 50, 8
+#: An opening clause is told to unlike questions if so many have it and no topic holds a larger share of these.
+CLAUSE_QUESTIONS, TOPIC_SHARE = 5, 0.7
 
 #: The language of a query that shows none.
 USUAL = "es"
@@ -185,18 +190,40 @@ def is_unfinished(answer: str) -> bool:
     return not (COMPLETE.match(text) or COMPLETE.match(opened(text)))
 
 
-def pair_defect(query: str | None, answer: str | None) -> str | None:
-    """The defect that the pair alone shows."""
+NUMBER = re.compile(r"\d+(?:[/.:,]\d+)*")
+CLAUSE_END = re.compile(r"[.;!?,\n]")
+
+
+@lru_cache(maxsize=50_000)
+def opening(answer: str) -> int | None:
+    """The hash of the answer's first clause without courtesies, numbers and capitalised words; null if it doesn't end or says too little."""
+    import xxhash
+
+    text = NUMBER.sub("0", opened(INVISIBLE.sub("", answer)))
+    end = CLAUSE_END.search(text)
+    if end is None:
+        return None
+    words = [w for i, w in enumerate(LETTERS.findall(text[: end.start()])) if i == 0 or w.islower()]
+    return xxhash.xxh3_64_intdigest(" ".join(words).lower()) - (1 << 63) if len(words) > 1 else None
+
+
+def gives_number(query: str, answer: str) -> bool:
+    """Whether the answer has a number that the query hasn't."""
+    return not set(NUMBER.findall(opened(answer))) <= set(NUMBER.findall(query))
+
+
+def pair_defect(query: str | None, answer: str | None, short: bool = False, declined: bool = False) -> str | None:
+    """The defect of a pair; short if it is known to be cut off, declined if its opening clause is told to unlike questions."""
     if is_empty(answer):
         return "empty"
     query = query or ""
     if is_copy(query, answer):
         return "copy"
-    if is_refusal(answer):
+    if is_refusal(answer) or declined and not gives_number(query, answer):
         return "refusal"
     if is_foreign(query, answer):
         return "language"
-    return "truncated" if is_unfinished(answer) else None
+    return "truncated" if short or is_unfinished(answer) else None
 
 
 def goes_on_inside(text: str, longer: str) -> bool:
@@ -207,93 +234,131 @@ def goes_on_inside(text: str, longer: str) -> bool:
     return last.isdigit() and after in "/.," and longer[len(text) + 1 : len(text) + 2].isdigit()
 
 
-def shortened(df: DataFrame, question: str, answer: str) -> DataFrame:
-    """question and answer of the answers that another answer to the same question continues inside a word.
+class Compared:
+    """What the distinct answers of a table say of each other; see the module's text.
 
-    The distinct answers are range-partitioned and sorted by question and text,
-    so that each meets its continuation as its next neighbour; the neighbours
-    across partitions are compared afterwards.
+    The distinct answers are range-partitioned and sorted by question and text. An answer stays open while those
+    that follow begin with it. Answers still open at a partition's end, as many as are nested there, are held against all
+    others of their question afterwards.
     """
-    src = df.select(F.col(question).alias("q"), F.col(answer).alias("a")).where("q is not null and a is not null and a <> ''").distinct()
-    kind = dict(src.dtypes)["q"]
-    schema = f"q {kind}, a string, part int, edge string"
-    ordered = materialize(src, "answers").repartitionByRange("q", "a").sortWithinPartitions("q", "a")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, held, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            rows: list[tuple] = []
-            for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if first:
-                    rows.append((q, a, part, "first"))
-                    first = False
-                elif held[0] == q and a.startswith(held[1]) and goes_on_inside(held[1], a):
-                    rows.append((*held, part, None))
-                held = (q, a)
-            yield _rows(rows, kind)
-        if held is not None:
-            yield _rows([(*held, part, "last")], kind)
-
-    def _rows(rows: list[tuple], kind: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(("q", "a", "part", "edge"), r)) for r in rows], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema, prefers_large_types=False)
-    found = materialize(ordered.mapInArrow(run, schema), "shortened")
-    # two rows a partition: its last against the first of the next
-    edges = found.where("edge is not null").withColumn("turn", F.when(F.col("edge") == "first", 0).otherwise(1))
-    w = Window.orderBy("part", "turn")
-    edges = edges.select("q", "a", "edge", F.lead("q").over(w).alias("q2"), F.lead("a").over(w).alias("a2")).where("edge = 'last' and q2 = q and startswith(a2, a) and a2 <> a")
-    inside = F.udf(lambda a, b: goes_on_inside(a, b), "boolean")  # at most one row a partition
-    across = edges.where(inside("a", "a2")).select("q", "a")
-    return found.where("edge is null").select("q", "a").unionByName(across).select(F.col("q").alias(question), F.col("a").alias(answer))
-
-
-def limits(df: DataFrame, answer: str) -> list[int]:
-    """Lengths at which so many answers end without an end that a limit of the writer must be the reason.
-
-    Lengths are counted in characters up to 65,536 (longer ones count as that), so the counts that reach the driver are bounded.
-    """
-    size = F.least(F.length(answer), F.lit(65536))
-    rows = df.where(F.col(answer).isNotNull() & ~F.col(answer).rlike(r"[.!?»”\")\]\s]$")).groupBy(size.alias("size")).count().collect()
-    count = {r["size"]: r["count"] for r in rows}
-    around = lambda n: sorted(count.get(n + d, 0) for d in (-4, -3, -2, -1, 1, 2, 3, 4))[4]
-    return sorted(n for n, c in count.items() if c >= SPIKE_ROWS and c >= SPIKE_TIMES * max(1, around(n)) and n > 20)
-
-
-def defects(df: DataFrame, keys: tuple[str, ...] = ("id", "system", "attempt"), question: str = "id", query: str = "query", answer: str = "answer") -> DataFrame:
+    def __init__(self, df: DataFrame, question: str, answer: str, topic: str | None) -> None:
+        src = df.select(F.col(question).alias("q"), F.col(answer).alias("a")).where("q is not null and a is not null and a <> ''").distinct()
+        kind = dict(src.dtypes)["q"]
+        self.answers = materialize(src, "answers")
+        schema = f"q {kind}, a string, clause bigint, size int, open boolean"
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema, prefers_large_types=False)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, stack = None, []
+            clauses: set[int] = set()
+            for batch in batches:
+                rows: list[tuple] = []
+                for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if q != held:
+                        held, stack, clauses = q, [], set()
+                    while stack and not a.startswith(stack[-1]):
+                        stack.pop()
+                    cut = [x for x in stack if goes_on_inside(x, a)]
+                    if cut:
+                        rows += [(q, x, None, None, False) for x in cut]
+                        stack = [x for x in stack if x not in cut]
+                    stack.append(a)
+                    if is_unfinished(a):
+                        rows.append((q, None, None, len(a), None))
+                    elif (clause := opening(a)) is not None and clause not in clauses:
+                        clauses.add(clause)
+                        rows.append((q, None, clause, None, None))
+                yield _batch(rows)
+            yield _batch([(held, x, None, None, True) for x in stack])
+
+        def _batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        ordered = self.answers.repartitionByRange("q", "a").sortWithinPartitions("q", "a")
+        self.notes = materialize(ordered.mapInArrow(run, schema), "compared")
+        self.topics = None
+        if topic is not None:
+            votes = df.where(F.col(question).isNotNull()).groupBy(F.col(question).alias("q"), F.col(topic).alias("topic")).count()
+            self.topics = votes.groupBy("q").agg(F.max_by(F.struct("topic"), F.struct("count", "topic"))["topic"].alias("topic"))
+
+    def shortened(self) -> DataFrame:
+        """q and a of the answers that another answer to the same question continues inside a word."""
+        late = self.notes.where("open").select("q", F.col("a").alias("x"))
+        late = F.broadcast(late) if late.count() <= BROADCAST_ROWS else late
+        last, after, second = F.right("x", F.lit(1)), F.substr("a", F.length("x") + 1, F.lit(1)), F.substr("a", F.length("x") + 2, F.lit(1))
+        word, blank = r"[\p{L}\p{N}]", F.coalesce(F.substr("x", F.length("x") - 1, F.lit(1)).rlike(r"\s"), F.lit(False)) & (F.length("x") > 1)
+        inside = after.rlike(word) & (last.rlike(word) | last.rlike(r"[./,:(-]") & ~blank) | last.rlike(r"\p{Nd}") & after.rlike("[/.,]") & second.rlike(r"\p{Nd}")
+        across = self.answers.join(late, "q").where(F.startswith("a", "x") & (F.length("a") > F.length("x")) & inside).select("q", F.col("x").alias("a"))
+        return self.notes.where("not open").select("q", "a").union(across).distinct()
+
+    def limits(self) -> list[int]:
+        """Lengths at which so many distinct answers end without an end that a limit of the writer must be the reason."""
+        count = self.notes.where("size is not null").groupBy("size").count()
+        many = count.where((F.col("count") >= SPIKE_ROWS) & (F.col("size") > 20))
+        near = many.select("size", "count", F.explode(F.array(*(F.col("size") + d for d in (-4, -3, -2, -1, 1, 2, 3, 4)))).alias("by"))
+        near = near.join(count.select(F.col("size").alias("by"), F.col("count").alias("n")), "by", "left")
+        found = near.groupBy("size", "count").agg(F.element_at(F.array_sort(F.collect_list(F.coalesce("n", F.lit(0)))), 5).alias("around"))
+        return sorted(r["size"] for r in found.where(F.col("count") >= SPIKE_TIMES * F.greatest(F.lit(1), "around")).collect())
+
+    def told_to_all(self) -> DataFrame:
+        """The opening clauses that are told to questions of unlike topics; a question's topic is its most frequent one."""
+        clauses = self.notes.where("clause is not null").select("q", "clause").distinct()
+        if self.topics is None:
+            return clauses.where("false").select("clause")
+        by_topic = clauses.join(self.topics, "q").groupBy("clause", "topic").agg(F.count("*").alias("n"))
+        each = by_topic.groupBy("clause").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+        return each.where((F.col("all") >= CLAUSE_QUESTIONS) & (F.col("most") <= TOPIC_SHARE * F.col("all"))).select("clause")
+
+
+def defects(df: DataFrame, keys: tuple[str, ...] = ("id", "system", "attempt"), question: str = "id", query: str = "query", answer: str = "answer", topic: str | None = None) -> DataFrame:
     """keys and defect of each distinct defective pair.
 
-    question names the column that says which answers belong to one question.
+    question names the column that says which answers belong to one question, topic one that tells
+    what a question is about (most often, if rows differ; null is a topic too; without it no clause counts as told to all).
     A null answer is `empty`, with a null query too; a pair without query can be
     neither copy nor language. Repeated rows count once; if rows repeat a key
     with other contents, the first defect in the order of the types is given. Null keys are
     kept as they are. An empty table gives no rows.
     """
+    compared = Compared(df, question, answer, topic)
     rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(question).alias("q"), F.col(query).alias("asked"), F.col(answer).alias("a"))
-    cut = shortened(rows, "q", "a").select(F.col("q").alias("cut_q"), F.xxhash64("a").alias("cut_a")).distinct()
-    cut = materialize(cut, "cut")
+    cut = materialize(compared.shortened().select(F.col("q").alias("cut_q"), F.xxhash64("a").alias("cut_a")).distinct(), "cut")
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
-    at_limit = limits(rows, "a")
+    at_limit = compared.limits()
     flagged = rows.withColumn("h", F.xxhash64("a")).join(cut, (F.col("q") == F.col("cut_q")) & (F.col("h") == F.col("cut_a")), "left")
-    limited = F.length("a").isin(at_limit) & ~F.col("a").rlike(r"[.!?»”\")\]]\s*$") if at_limit else F.lit(False)
-    src = flagged.select(*(f"k{i}" for i in range(len(keys))), "asked", "a", (F.col("cut_a").isNotNull() | F.coalesce(limited, F.lit(False))).alias("short"))
-    kinds = dict(src.dtypes)
     own = [f"k{i}" for i in range(len(keys))]
+    src = flagged.select(*own, "asked", "a", F.col("cut_a").isNotNull().alias("short"), F.lit(None).cast("boolean").alias("declined"))
+    clauses = materialize(compared.told_to_all(), "clauses")
+    few = clauses.count() <= BROADCAST_ROWS
+    shared = df.sparkSession.sparkContext.broadcast(set(clauses.toArrow().column("clause").to_pylist())) if few else None
+    if not few:  # each row's clause is joined instead
+
+        def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [opening(a) if a else None for a in batch.column("a").to_pylist()]
+                yield batch.append_column("clause", pa.array(found, pa.int64()))
+
+        ddl = ", ".join(f"{c} {t}" for c, t in src.dtypes)
+        src = src.mapInArrow(noted, f"{ddl}, clause bigint").drop("declined").join(clauses.withColumn("declined", F.lit(True)), "clause", "left").drop("clause")
+    kinds = dict(src.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limited = set(at_limit)
         memo: dict[tuple, str | None] = {}
         for batch in batches:
             n = len(own)
             out = []
-            for pair in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
+            for pair in zip(*(batch.column(n + i).to_pylist() for i in range(4))):
                 if pair not in memo:
                     if len(memo) > 50_000:
                         memo.clear()
-                    memo[pair] = pair_defect(*pair[:2]) or ("truncated" if pair[2] else None)
+                    asked, a, short, declined = pair
+                    declined = opening(a) in shared.value if shared and a else bool(declined)
+                    memo[pair] = pair_defect(asked, a, short or a is not None and len(a) in limited and is_unfinished(a), declined)
                 out.append(memo[pair])
             found = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(out, pa.string())], names=[*own, "defect"])
             yield found.filter(found.column("defect").is_valid())

@@ -97,7 +97,7 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs whose answer is no proper reply to its query, with the type of the defect."""
-    return qa_pairs.defects(_table(spark, folder, "runs"))
+    return qa_pairs.defects(_table(spark, folder, "runs"), topic="pred_category")
 
 
 def _spellings(spark: SparkSession, folder: str, tbl: str) -> DataFrame:

@@ -22,8 +22,8 @@ def test_neighbours_across_partitions(spark):
     long = "Las inscripciones van del 01/02/2027 al 03/04/2027. Fuente: REGLAMENTO 2026.pdf Art.42."
     rows = [("q", long[:n]) for n in range(1, len(long) + 1)]
     df = spark.createDataFrame(rows + rows, "id string, answer string").repartition(7)
-    got = {r["answer"] for r in Q.shortened(df, "id", "answer").collect()}
-    assert got == {a for a, b in zip((x for _, x in rows), (x for _, x in rows[1:])) if Q.goes_on_inside(a, b)}
+    got = {r["a"] for r in Q.Compared(df, "id", "answer", None).shortened().collect()}
+    assert got == {a for _, a in rows[:-1] if Q.goes_on_inside(a, long)}  # every longer version counts, not only the next
     assert long[: long.index(".pdf")] + "." in got
 
 
@@ -42,4 +42,32 @@ def test_length_limit(spark):
     spiky = [("q", f"{i:04}".translate(str.maketrans("0123456789", "abcdefghij")) * 10) for i in range(60)]
     spread = [("q", "palabra " * 5 + "z" * (i % 37)) for i in range(60)]
     df = spark.createDataFrame(spiky + spread, "id string, answer string")
-    assert Q.limits(df, "answer") == [40]
+    assert Q.Compared(df, "id", "answer", None).limits() == [40]
+
+
+def test_values_of_one_length_are_no_limit(spark):
+    """A bare span of dates is complete, however many have its length; lengths beyond any bound count as they are."""
+    spans = [("q", f"Del {i % 28 + 1:02}/05/{2000 + i // 28} al 03/06/2027") for i in range(90)]
+    long = [("q", f"{i:04}".translate(str.maketrans("0123456789", "abcdefghij")) * 20_000) for i in range(60)]
+    df = spark.createDataFrame(spans + long, "id string, answer string")
+    assert Q.Compared(df, "id", "answer", None).limits() == [80_000]
+
+
+def test_a_later_continuation_is_seen(spark):
+    """The next in order goes on with a blank, only a later one inside the date."""
+    rows = [("q", "Hasta el 12"), ("q", "Hasta el 12 de marzo."), ("q", "Hasta el 12/03/2027."), ("r", "Hasta el 12"), ("r", "Hasta el 12 de marzo.")]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "id string, answer string").repartition(parts)
+        assert [tuple(r) for r in Q.Compared(df, "id", "answer", None).shortened().collect()] == [("q", "Hasta el 12")]
+
+
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_clauses_told_to_unlike_questions(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", rows_broadcast)
+    topics, rows = ("A", "B", "C", None), []
+    for i in range(24):
+        t = topics[i % 4]
+        rows += [(f"q{i}", t, f"pregunta {i} de {t}", f"El archivo calla al respecto, Juan{i}."), (f"q{i}", t, f"pregunta {i} de {t}", f"El dato de la clase {str(t).lower()} consta así, según dicen."), (f"q{i}", t, f"pregunta {i} de {t}", f"El archivo calla al respecto, pero son {i + 900}.")]
+    df = spark.createDataFrame(rows, "id string, topic string, query string, answer string").selectExpr("*", "monotonically_increasing_id() AS system", "1 AS attempt")
+    got = Q.defects(df, topic="topic").join(df.select("id", "system", "answer"), ["id", "system"]).collect()
+    assert len(got) == 24 and {r["defect"] for r in got} == {"refusal"} and all("Juan" in r["answer"] for r in got)
