@@ -43,4 +43,6 @@ ORACLES: dict[str, str] = {
     """,
     # what the ids decode to is the text itself
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
+    # every token in a container, none too full, none divided without need
+    "p7_audit": "SELECT window_name, (SELECT count(*) FROM documents) AS items, true AS complete, 0::BIGINT AS overflowing, 0::BIGINT AS divided FROM context_windows",
 }

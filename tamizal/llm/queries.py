@@ -149,6 +149,14 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     return packing.summary(p7_containers(spark, folder), _table(spark, folder, "context_windows"))
 
 
+def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each capacity: all documents, whether every token is in a container, and how many containers overflow or documents are divided though they fit."""
+    sizes = materialize(bpe.count_tokens(_table(spark, folder, "documents", "doc_id", "text")), "tokens")
+    windows = _table(spark, folder, "context_windows")
+    found = packing.audit(packing.pack(sizes, windows), sizes, windows)
+    return found.select("window_name", "items", (F.col("held") == F.col("tokens")).alias("complete"), "overflowing", "divided")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of documents in which an item of personal information begins, by kind."""
     return pii.find(_table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "line_no", "kind").distinct()
@@ -165,5 +173,5 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_near, p3_cleaned, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p8_found, p8_items, p8_redacted)
+    f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p1_rank_bounds, p2_found, p2_repaired, p3_found, p3_near, p3_cleaned, p4_found, p5_found, p5_classes, p5_forms, p6_ids, p6_decoded, p7_containers, p7_summary, p7_audit, p8_found, p8_items, p8_redacted)
 }

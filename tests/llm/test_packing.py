@@ -21,7 +21,7 @@ def test_plan(capacity):
     sizes = Counter(np.minimum(capacity, 1 + rng.gamma(1.2, capacity / 4, 3000).astype(int)).tolist())
     entries, used = P.plan(sizes, capacity)
     load, seen = Counter(), Counter()
-    for s, first, n, base, each in entries:
+    for s, first, n, base, each, _ in entries:
         assert first == seen[s]
         seen[s] += n
         for i in range(n):
@@ -51,6 +51,41 @@ def test_pack(spark):
     assert P.pack(df.limit(0), windows).count() == 0
 
 
-def test_too_large(spark):
-    with pytest.raises(ValueError, match="exceeds"):
-        P.pack(spark.createDataFrame([(1, 1)], "doc_id int, tokens int"), spark.createDataFrame([("a", 1 << 21)], "window_name string, capacity_tokens int"))
+def test_any_capacity(spark):
+    """Capacities beyond the sizes a plan tells apart are planned in units: nothing overflows, nothing is divided without need."""
+    big = 5 << 20
+    rows = [(i, int(x)) for i, x in enumerate(np.random.default_rng(2).integers(1, big, 300))] + [(i, big) for i in range(300, 310)] + [(i, big - 1) for i in range(310, 320)] + [(400, 3 * big + 1)]
+    sizes = spark.createDataFrame(rows, "doc_id int, tokens int")
+    windows = spark.createDataFrame([("a", big)], "window_name string, capacity_tokens int")
+    packed = P.pack(sizes, windows)
+    audit = P.audit(packed, sizes, windows).first()
+    assert audit["held"] == audit["tokens"] == sum(n for _, n in rows) and audit["overflowing"] == 0 and audit["divided"] == 0 and audit["items"] == len(rows)
+    total = P.summary(packed, windows).first()
+    assert total["containers"] <= total["fewest"] * 1.15
+
+
+def test_patterns_beat_best_fit(spark):
+    """Three sizes that fill a container only together, where best fit puts two of the largest into one."""
+    histogram = {36: 3000, 33: 3000, 31: 3000}
+    assert P.plan_on(histogram, 100, 0, 0)[1] == 3500 and P.plan(histogram, 100)[1] == 3000
+    rng = np.random.default_rng(7)
+    triplets: Counter = Counter()
+    for _ in range(3000):
+        a = int(rng.integers(260, 480))
+        b = int(rng.integers(260, max(261, 1000 - a - 260)))
+        triplets.update([a, b, 1000 - a - b])
+    assert P.plan(triplets, 1000)[1] <= 3100 < 3300 <= P.plan_on(triplets, 1000, 0, 0)[1]
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([36, 33, 31] * 200)], "doc_id int, tokens int")
+    windows = spark.createDataFrame([("a", 100)], "window_name string, capacity_tokens int")
+    assert tuple(P.summary(P.pack(sizes, windows), windows).first()) == ("a", 200, 200, 0, 20_000, 200, 1.0)
+
+
+def test_one_key_on_many_rows(spark):
+    """A key that a third of the rows share, and null keys, are ranked in many buckets like any other row."""
+    sizes = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "cast(10 AS int) AS tokens")
+    windows = spark.createDataFrame([("a", 40)], "window_name string, capacity_tokens int")
+    rows = P.pack(sizes, windows).collect()
+    load = Counter()
+    for r in rows:
+        load[r["container_id"]] += r["tokens"]
+    assert len(rows) == 900 and len(load) == 225 and set(load.values()) == {40}
