@@ -14,7 +14,7 @@ from tamizal.functions import text as T
 from tamizal.operators.retrieval import ranked
 
 # fixed values: words of a header that say nothing about its subject
-LABEL_NOISE = "de del la el vacant vacantes vacante proces proceso genera general estudi estudios progra programa".split()
+LABEL_NOISE = "de del la el vacantes vacante proceso general estudios programa".split()
 #: Cells of these labels name a row's place, not a quantity.
 ROW_KEYS = ("programa de estudios", "programa", "facultad", "area", "sede", "item")
 
@@ -36,8 +36,10 @@ def entity_labels(c: DataFrame, tbl: tuple[str, ...], row: tuple[str, ...]) -> D
     return ranked(ok, list(tbl), [F.desc("score"), F.asc("label")], 1).select(*tbl, F.col("label").alias("entity_label"))
 
 
-def _core(words: Column) -> Column:
-    return F.filter(words, lambda t: ~F.array_contains(F.array(*(F.lit(x) for x in LABEL_NOISE)), t) & (t != ""))
+def _core(label: Column) -> Column:
+    """The stems of a header's words, whole noise words left out before they are cut."""
+    words = F.filter(F.split(T.norm(label), " "), lambda t: (t != "") & ~F.array_contains(F.array(*(F.lit(x) for x in LABEL_NOISE)), t))
+    return F.array_distinct(F.transform(words, lambda t: F.substring(t, 1, 6)))
 
 
 def label_score(label: Column, query_stems: Column) -> Column:
@@ -47,7 +49,7 @@ def label_score(label: Column, query_stems: Column) -> Column:
     total, and without own words the group must be named. Words of the item
     count twice, of a named group once, an asked total once.
     """
-    item, group = _core(T.stems(T.item_of(label))), _core(T.stems(T.group_of(label)))
+    item, group = _core(T.item_of(label)), _core(T.group_of(label))
     has_total = F.array_contains(item, "total")
     core = F.filter(item, lambda t: t != "total")
     within = lambda a: F.size(F.array_except(a, query_stems)) == 0
@@ -118,9 +120,10 @@ def resolve(questions: DataFrame, c: DataFrame, entity: str = "entity", key: str
     """
     q = questions.select(F.col(key).alias("q_key"), T.phase_rewrite(T.norm(F.col(query))).alias("asked")).withColumn("stems", F.array_distinct(F.transform(F.split("asked", " "), lambda t: F.substring(t, 1, 6))))
     words = F.split("asked", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    named = q.select("q_key", "stems", F.explode(F.array_distinct(runs)).alias("name"))
     names = c.select(F.col(entity).alias("entity"), T.norm(F.col(entity)).alias("name")).distinct().where(F.length("name") > 3)
+    longest = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    named = q.select("q_key", "stems", F.explode(F.array_distinct(runs)).alias("name"))
     hit = named.join(names, "name")
     # several named rows, unless one name holds the others, leave the question open
     most = hit.groupBy("q_key").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("longest"), F.collect_set("name").alias("all"))

@@ -291,7 +291,7 @@ _PAIRS = f"""{_SCORED}, pairs AS (SELECT x.system AS a, y.system AS b, count(*)
 def _bootstrap(rows: str, value: str, seed: int) -> str:
     return f"""ranked AS (SELECT system, ({value})::DOUBLE AS v, row_number() OVER (PARTITION BY system ORDER BY id) - 1 AS place_ FROM {rows}),
         sizes AS (SELECT system, count(*) AS n, round(avg(v), 6) AS mean FROM ranked GROUP BY system),
-        draws AS (SELECT system, rep, ('0x' || md5(concat_ws(':', {seed}, rep, place))[1:12])::BIGINT % n AS place_ FROM (SELECT system, n, unnest(range(200)) AS rep FROM sizes), LATERAL (SELECT unnest(range(n)) AS place)),
+        draws AS (SELECT system, rep, ('0x' || md5(concat_ws(':', {seed}, rep, place))[1:12])::BIGINT % n AS place_ FROM (SELECT system, n, unnest(range(10000)) AS rep FROM sizes), LATERAL (SELECT unnest(range(n)) AS place)),
         means AS (SELECT d.system, rep, avg(v) AS m FROM draws d JOIN ranked r ON r.system = d.system AND r.place_ = d.place_ GROUP BY ALL),
         ordered AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY m, rep) - 1 AS at_ FROM means)
         SELECT s.system, s.n, s.mean, round(max(CASE WHEN at_ = 5 THEN m END), 6) AS low, round(max(CASE WHEN at_ = 195 THEN m END), 6) AS high FROM sizes s JOIN ordered o ON o.system = s.system GROUP BY ALL"""
@@ -365,7 +365,7 @@ ORACLES = {
         CASE WHEN coalesce(isnan(elapsed_s) OR elapsed_s < 0, true) THEN 'bad_time' END, CASE WHEN coalesce(len(contexts), 0) = 0 AND phase <> 'router_ood' THEN 'no_context' END), ''), 'ok') AS flags FROM {_RUN}) GROUP BY flags""",
     "run_counts": f"SELECT system, phase, count(*) AS runs, count(pred_category) AS labelled FROM {_RUN} GROUP BY ROLLUP (system, phase)",
     "promotion_gate": 'SELECT count(*) AS "rows", count(*) FILTER (categoria_correcta IS NULL) AS no_categoria_correcta, count(*) FILTER (parafrasis IS NULL) AS no_parafrasis, count(*) FILTER (ground_truth IS NULL) AS no_ground_truth, count(query) - count(DISTINCT query) AS repeated FROM queries',
-    "leakage_overlap": f"SELECT {S.norm('query')} AS norm FROM question_bank INTERSECT SELECT {S.norm('query')} FROM runs WHERE attempt = 1",
+    "leakage_overlap": f"SELECT {S.norm('query')} AS norm FROM question_bank INTERSECT SELECT {S.norm('query')} FROM runs",
     "query_sets": """WITH r AS (SELECT DISTINCT id, system FROM runs) SELECT id, 'V1' AS only FROM r WHERE system = 'V1' AND id NOT IN (SELECT id FROM r WHERE system = 'V4d')
         UNION ALL SELECT id, 'V4d' FROM r WHERE system = 'V4d' AND id NOT IN (SELECT id FROM r WHERE system = 'V1')""",
     "dedup_keep_first": "SELECT categoria_correcta, lower(query) AS asked, lower(ground_truth) AS truth, min(id) AS id, count(*) AS copies FROM queries GROUP BY ALL",

@@ -178,8 +178,7 @@ ORACLES = {
         pairs AS (SELECT f.id, f.doc_id, f.rank AS fused_rank, list_distinct({S.tokens('q.query')}) AS a, list_distinct({S.tokens("coalesce(d.text, '')")}) AS b FROM fused f JOIN {_ASKED} q ON q.id = f.id JOIN documents d ON d.doc_id = f.doc_id)
         SELECT id, doc_id, fused_rank, rerank, row_number() OVER (PARTITION BY id ORDER BY rerank DESC, doc_id) AS rank
         FROM (SELECT *, round(1 / (1 + exp(-(8 * CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END - 4))), 6) AS rerank FROM pairs) QUALIFY rank <= 5""",
-    "global_merge6": f"""WITH near AS (SELECT query, vec_id, label, score FROM ({_SCORED}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 60),
-        parts AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS part_rank FROM near QUALIFY part_rank <= 3)
+    "global_merge6": f"""WITH parts AS (SELECT query, vec_id, label, score, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS part_rank FROM ({_SCORED}) QUALIFY part_rank <= 3)
         SELECT query, vec_id, label, score, part_rank, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM parts QUALIFY rank <= 6""",
     "anchor_check": f"""
         WITH r AS (SELECT row_number() OVER () AS k, * FROM (SELECT system, query, array_to_string(contexts, ' ') AS context, count(*) AS n FROM runs WHERE query IS NOT NULL GROUP BY ALL)),
