@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamizal.functions import text as T
+from tamizal.operators.evalstats import running
 from tamizal.operators.segments import next_boundary
 
 
@@ -38,7 +39,8 @@ def date_cells(questions: DataFrame, rows: DataFrame, aliases: DataFrame) -> Dat
     """
     q = questions.select("id", T.norm(F.col("query")).alias("asked"))
     words = F.split("asked", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
     named = q.select("id", "asked", F.explode(F.array_distinct(runs)).alias("alias")).join(F.broadcast(aliases), "alias").select("id", "asked", "item").distinct()
     heading = F.filter(F.split(T.norm(F.col("heading")), " "), lambda t: ~t.isin("examen", "de", "del", ""))
     near = named.join(rows.select("heading", "item", "dates", heading.alias("terms")), "item").where((F.size("terms") > 0) & (F.size(F.array_except("terms", F.split("asked", " "))) == 0) & (F.size("dates") > 0))
@@ -85,6 +87,6 @@ def source_page_hits(runs: DataFrame, expected: DataFrame, key: str = "id") -> D
 
 
 def seeded_order(df: DataFrame, by: tuple[str, ...], keys: tuple[str, ...], seed: int) -> DataFrame:
-    """df with place: a shuffle within by that only seed and keys decide."""
+    """df with place: a shuffle within by that only seed and keys decide; ranges of the order are numbered in many tasks."""
     order = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)))
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order, *keys)))
+    return running(df.withColumns({"order_": order, "one_": F.lit(1)}), by, ("order_", *keys), "one_").withColumnRenamed("upto", "place").drop("order_", "one_")

@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamizal.session import materialize
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """df with upto, the sum of value over the rows of the same by up to this one in the order (which must be total).
+
+    Rows are cut into ranges of by and order, summed up inside these, and the sums of the ranges before are added, so one by
+    that holds most rows is spread over many tasks. Only a sum for each range and by is put in order in one place.
+    """
+    cut = df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in (*by, *order))).withColumn("range_", F.spark_partition_id())
+    cut = materialize(cut, "ranges")
+    sums = cut.groupBy(*by, "range_").agg(F.sum(value).alias("sum_"))
+    earlier = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(c).alias(f"{c}_by") for c in by), F.col("range_").alias("range_by"), F.sum("sum_").over(earlier).alias("earlier_"))
+    inside = Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("range_") == F.col("range_by")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_by"))
+    out = cut.withColumn("upto", F.sum(value).over(inside)).join(sums, same, "left")
+    return out.withColumn("upto", F.col("upto") + F.coalesce("earlier_", F.lit(0))).drop("range_", "range_by", "earlier_", *(f"{c}_by" for c in by))
+
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Mean, population deviation, extremes, median (middle two) and nearest-rank percentiles, and the upper median; NaN counts as missing."""
-    v = F.when(~F.isnan(value), F.col(value))
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)")
-    src = df.select(*by, v.alias("v")).where("v is not null")
-    out = src.groupBy(*by).agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.expr("percentile(v, 0.5)"), 6).alias("median"), *(rank(p).alias(f"p{round(p * 100)}") for p in (0.9, 0.95, 0.99)))
-    w = Window.partitionBy(*by).orderBy("v")
-    # t[n // 2] of the sorted values: the place after half of them
-    upper = src.withColumn("at", F.row_number().over(w)).join(out.select(*by, "n"), by).where(F.col("at") == F.floor(F.col("n") / 2) + 1).select(*by, F.col("v").alias("upper_median"))
-    return out.join(upper, by)
+    """Mean, population deviation, extremes, median (middle two) and nearest-rank percentiles, and the upper median; NaN counts as missing.
+
+    Exact: equal values are counted before they move, and ranks are running counts over ranges of values.
+    """
+    src = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    out = src.groupBy(*by).agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"))
+    ranked = running(src.groupBy(*by, "v").agg(F.count("*").alias("c")), by, ["v"], "c").select(*(F.col(x).alias(f"{x}_r") for x in by), "v", "c", "upto")
+    same = F.lit(True)
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"{x}_r"))
+    n = F.col("n")
+    # the rank of each wanted value among the sorted ones, from 1
+    places = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1} | {f"p{round(q * 100)}": F.greatest(F.lit(1), F.ceil(F.round(q * n, 9))) for q in (0.9, 0.95, 0.99)}
+    each = out.join(ranked, same).groupBy(*by, *out.columns[len(by) :]).agg(*(F.max(F.when((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at), F.col("v"))).alias(name) for name, at in places.items()))
+    return each.select(*out.columns, F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p90", "p95", "p99", F.col("high").alias("upper_median"))
 
 
 def shares(df: DataFrame, by: Sequence[str], part: str, value: str) -> DataFrame:
@@ -70,43 +100,89 @@ def mcnemar(df: DataFrame, key: str, group: str, good: str) -> DataFrame:
     return pairs.withColumn("p", F.round(mcnemar_p(F.col("only_a"), F.col("only_b")), 6))
 
 
-def draw(seed: int, rep: Column, place: Column, n: Column) -> Column:
-    """A reproducible draw from 0 .. n-1, from the first digits of an MD5; any engine with MD5 can repeat it."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), rep, place)), 1, 12), 16, 10).cast("bigint") % n
+#: Shares of a Poisson(1) variable's values 0, 1, 2, .. summed up, in parts of 2**31.
+POISSON = tuple(round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) * 2**31) for k in range(12))
 
 
-def bootstrap(df: DataFrame, by: str, key: str, value: str, reps: int = 200, seed: int = 1) -> DataFrame:
-    """Mean and percentile interval (2.5 %, 97.5 %) of value over resampled keys for each by.
+def counts_of(h: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row (a number from its key) is drawn in each resample: Poisson(1) counts from a fixed mix that any engine with 64-bit integers can repeat."""
+    t = (h[:, None] + reps[None, :] * 40_503 + seed * 7_919) % 2**31
+    for _ in range(3):
+        t = (t * 1_103_515_245 + 12_345) % 2**31
+        t ^= t >> 16
+    return np.searchsorted(np.array(POISSON), t, side="right")
 
-    Resamples are rows of (rep, place) whose draws join the ranked values, so a group is never gathered in one task.
-    """
-    w = Window.partitionBy(by).orderBy(key)
-    ranked = df.select(by, key, F.col(value).cast("double").alias("v")).withColumn("at", F.row_number().over(w) - 1)
-    sizes = ranked.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
-    draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select(by, "n", "rep", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("place"))
-    taken = draws.select(by, "rep", draw(seed, F.col("rep"), F.col("place"), F.col("n")).alias("at")).groupBy(by, "rep", "at").agg(F.count("*").alias("times"))
-    means = taken.join(ranked, [by, "at"]).groupBy(by, "rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum("times")).alias("m"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy("m", "rep")) - 1
-    ends = means.withColumn("at", place).groupBy(by).agg(F.round(F.max(F.when(F.col("at") == int(0.025 * reps), F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("at") == int(0.975 * reps), F.col("m"))), 6).alias("high"))
-    return sizes.join(ends, by)
 
+def bootstrap(df: DataFrame, by: str, key: str, value: str, reps: int = 10_000, seed: int = 1) -> DataFrame:
+    """Mean and percentile interval (2.5 %, 97.5 %) of value over resampled keys for each by.
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
-    """df with rank: the mean of the places that equal values take."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("rank", F.rank().over(w) + (ties - 1) / 2)
+    Each row draws its own count for every resample, so rows stay where they are and what moves is two sums
+    for each partition, by and resample.
+    """
+    src = df.select(F.col(by).cast("string").alias("g"), F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("bigint").alias("h"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(reps, dtype=np.int64)
+        held: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            h, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            groups = batch.column(0).to_pylist()
+            for g in set(groups):
+                times, sums = held.setdefault(g, (np.zeros(reps), np.zeros(reps)))
+                mine = np.flatnonzero([x == g for x in groups])
+                for first in range(0, len(mine), 64):
+                    part = mine[first : first + 64]
+                    c = counts_of(h[part], every, seed)
+                    times += c.sum(0)
+                    sums += v[part] @ c
+        for g, (times, sums) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * reps, pa.string()), pa.array(every.astype(np.int32)), pa.array(times), pa.array(sums)], names=["g", "rep", "times", "sums"])
+
+    means = src.mapInArrow(run, "g string, rep int, times double, sums double").groupBy("g", "rep").agg(F.try_divide(F.sum("sums"), F.sum("times")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("m", "rep")) - 1
+    ends = means.withColumn("at", place).groupBy("g").agg(F.round(F.max(F.when(F.col("at") == int(0.025 * reps), F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("at") == int(0.975 * reps), F.col("m"))), 6).alias("high"))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("g")).agg(F.count("*").alias("n"), F.round(F.avg(F.col(value).cast("double")), 6).alias("mean"))
+    return sizes.join(ends, "g").select(F.col("g").alias(by), "n", "mean", "low", "high")
 
 
 def wilcoxon(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
-    """Signed-rank sums of non-zero differences, W, the rank-biserial effect, and Z and |Z|/sqrt(n) without tie correction."""
-    d = df.where(F.col(difference).isNotNull() & ~F.isnan(difference) & (F.col(difference) != 0))
-    r = average_ranks(d, by, F.abs(F.col(difference)))
-    s = r.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(difference) < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
+    """Signed-rank sums of non-zero differences, W, the rank-biserial effect, Z and |Z|/sqrt(n) without tie correction, and the two-sided p.
+
+    Differences of one size are counted before they are ranked, and share the mean of their ranks. p is exact up to 50 differences without ties, else by
+    the normal approximation with tie correction.
+    """
+    d = df.where(F.col(difference).isNotNull() & ~F.isnan(difference) & (F.col(difference) != 0)).select(*by, F.abs(F.col(difference)).alias("size"), (F.col(difference) > 0).cast("int").alias("up"))
+    ranked = running(d.groupBy(*by, "size").agg(F.count("*").alias("c"), F.sum("up").alias("up")), by, ["size"], "c")
+    rank = F.col("upto") - (F.col("c") - 1) / 2
+    ties = F.sum(F.col("c").cast("double") * F.col("c") * F.col("c") - F.col("c"))
+    s = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(rank * F.col("up")).alias("w_plus"), F.sum(rank * (F.col("c") - F.col("up"))).alias("w_minus"), ties.alias("ties"))
     n = F.col("n").cast("double")
     w = F.least("w_plus", "w_minus")
-    z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return s.select(*by, "n", "w_plus", "w_minus", w.alias("w"), F.round((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), 6).alias("rank_biserial"), F.round(z, 6).alias("z"), F.round(F.abs(z) / F.sqrt(n), 6).alias("effect_r"))
+    spread = n * (n + 1) * (2 * n + 1) / 24
+    z = (w - n * (n + 1) / 4) / F.sqrt(spread)
+    p = F.when((F.col("n") <= 50) & (F.col("ties") == 0), _exact_p(F.col("n"), w)).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(w - n * (n + 1) / 4) / F.sqrt(spread - F.col("ties") / 48))))
+    return s.select(*by, "n", "w_plus", "w_minus", w.alias("w"), F.round((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), 6).alias("rank_biserial"), F.round(z, 6).alias("z"), F.round(F.abs(z) / F.sqrt(n), 6).alias("effect_r"), F.round(p, 6).alias("p"))
+
+
+def normal_tail(z: Column) -> Column:
+    """The share of a standard normal variable above z >= 0, by the complementary error function's rational form (error below 1.2e-7)."""
+    x = z / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    # fixed values: the coefficients of the form, from the highest power
+    series = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        series = series * t + c
+    return 0.5 * t * F.exp(-x * x + series)
+
+
+def _exact_p(n: Column, w: Column) -> Column:
+    @F.pandas_udf("double")
+    def p(sizes, sums):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([wilcoxon_exact_p(int(a), float(b)) if a <= 50 else None for a, b in zip(sizes, sums)], dtype="float64")
+
+    return p(n, w)
 
 
 def wilcoxon_exact_p(n: int, w: float) -> float:
@@ -132,9 +208,8 @@ def adjudicated(df: DataFrame, a: str, b: str, resolved: str) -> DataFrame:
 
 
 def within_budget(df: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, limit: float) -> DataFrame:
-    """Rows whose running cost within by stays in the limit, with that sum: it stops before the first that would exceed it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= limit)
+    """Rows whose running cost within by stays in the limit, with that sum: it stops before the first that would exceed it. Costs aren't negative."""
+    return running(df, by, order, cost).withColumnRenamed("upto", "spent").where(F.col("spent") <= limit)
 
 
 def multiset_overlap(expected: DataFrame, found: DataFrame, key: str, item: str) -> DataFrame:
@@ -145,6 +220,41 @@ def multiset_overlap(expected: DataFrame, found: DataFrame, key: str, item: str)
 
 
 def stratified(df: DataFrame, by: str, key: str, n: int, seed: int | None = None) -> DataFrame:
-    """The first n rows of each stratum in key order, or with a seed in the order of a hash of seed and key."""
+    """The first n rows of each stratum in key order, or with a seed in the order of a hash of seed and key. Each partition keeps n rows of a stratum before any move."""
     order = F.col(key) if seed is None else F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(key)))).where(F.col("rank") <= n)
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value, how often it occurs and its rank: the mean of the places that equal values take."""
+    ranked = running(df.groupBy(*by, value).agg(F.count("*").alias("c")), by, [value], "c")
+    return ranked.select(*by, value, F.col("c").alias("times"), (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+
+
+def human_scores(ratings: DataFrame, item: str, system: str, a: str, b: str, resolved: str, good: str = "correct", lenient: Sequence[str] = ("correct", "partial"), reps: int = 5_000) -> DataFrame:
+    """By system: rated items, strict and lenient accuracy after adjudication, the strict one's interval, and the raters' kappa."""
+    rated = adjudicated(ratings, a, b, resolved)
+    strict, loose = (F.col("rating") == good).cast("double"), F.col("rating").isin(*lenient).cast("double")
+    shares_ = rated.groupBy(system).agg(F.count("*").alias("items"), F.round(F.avg(strict), 6).alias("strict"), F.round(F.avg(loose), 6).alias("lenient"))
+    ends = bootstrap(rated.select(system, item, strict.alias("good")), system, item, "good", reps).select(system, "low", "high")
+    both = ratings.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    n = both.groupBy(system).agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("int")).alias("po"))
+    x = both.groupBy(system, F.col(a).alias("r")).agg(F.count("*").alias("x"))
+    y = both.groupBy(system, F.col(b).alias("r")).agg(F.count("*").alias("y"))
+    chance = x.join(y, [system, "r"]).groupBy(system).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    pe = F.coalesce("xy", F.lit(0)) / (F.col("n") * F.col("n"))
+    k = n.join(chance, system, "left").select(system, F.round(F.when(pe == 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)), 6).alias("kappa"))
+    return shares_.join(ends, system).join(k, system, "left")
+
+
+def same_conditions(a: DataFrame, b: DataFrame, key: str = "name") -> DataFrame:
+    """Settings (key, value) that two runs' manifests don't share: key, first, second; none if the runs are comparable."""
+    x, y = a.select(key, F.col("value").alias("first")), b.select(key, F.col("value").alias("second"))
+    return x.join(y, key, "full").where(~F.col("first").eqNullSafe(F.col("second")))
+
+
+def override_simulation(df: DataFrame, truth: str, before: str, after: str) -> DataFrame:
+    """By true category: rows, and how many were right before and after an override, mended and spoilt by it."""
+    right = lambda c: F.coalesce(F.col(c) == F.col(truth), F.lit(False))
+    count = lambda c: F.sum(c.cast("int"))
+    return df.groupBy(truth).agg(F.count("*").alias("rows"), count(right(before)).alias("right_before"), count(right(after)).alias("right_after"), count(~right(before) & right(after)).alias("mended"), count(right(before) & ~right(after)).alias("spoilt"))

@@ -289,12 +289,14 @@ _PAIRS = f"""{_SCORED}, pairs AS (SELECT x.system AS a, y.system AS b, count(*)
 
 
 def _bootstrap(rows: str, value: str, seed: int) -> str:
-    return f"""ranked AS (SELECT system, ({value})::DOUBLE AS v, row_number() OVER (PARTITION BY system ORDER BY id) - 1 AS place_ FROM {rows}),
-        sizes AS (SELECT system, count(*) AS n, round(avg(v), 6) AS mean FROM ranked GROUP BY system),
-        draws AS (SELECT system, rep, ('0x' || md5(concat_ws(':', {seed}, rep, place))[1:12])::BIGINT % n AS place_ FROM (SELECT system, n, unnest(range(10000)) AS rep FROM sizes), LATERAL (SELECT unnest(range(n)) AS place)),
-        means AS (SELECT d.system, rep, avg(v) AS m FROM draws d JOIN ranked r ON r.system = d.system AND r.place_ = d.place_ GROUP BY ALL),
-        ordered AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY m, rep) - 1 AS at_ FROM means)
-        SELECT s.system, s.n, s.mean, round(max(CASE WHEN at_ = 5 THEN m END), 6) AS low, round(max(CASE WHEN at_ = 195 THEN m END), 6) AS high FROM sizes s JOIN ordered o ON o.system = s.system GROUP BY ALL"""
+    mix = "xor((t * 1103515245 + 12345) % 2147483648, ((t * 1103515245 + 12345) % 2147483648) >> 16)"
+    times = " + ".join(f"(t >= {x})::INT" for x in E.POISSON)
+    return f"""held AS (SELECT system, ({value})::DOUBLE AS v, ('0x' || md5(id)[1:7])::BIGINT AS h FROM {rows}),
+        mixed AS (SELECT system, v, rep, {mix} AS t FROM (SELECT system, v, rep, {mix} AS t FROM (SELECT system, v, rep, {mix} AS t FROM (SELECT system, v, rep, (h + rep * 40503 + {seed * 7919}) % 2147483648 AS t FROM held, (SELECT unnest(range(10000)) AS rep))))),
+        means AS (SELECT system, rep, sum(v * c) / nullif(sum(c), 0) AS m FROM (SELECT system, rep, v, {times} AS c FROM mixed) GROUP BY ALL),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY m, rep) - 1 AS at_ FROM means),
+        sizes AS (SELECT system, count(*) AS n, round(avg(v), 6) AS mean FROM held GROUP BY system)
+        SELECT s.system, s.n, s.mean, round(max(CASE WHEN at_ = 250 THEN m END), 6) AS low, round(max(CASE WHEN at_ = 9750 THEN m END), 6) AS high FROM sizes s JOIN ordered o ON o.system = s.system GROUP BY ALL"""
 
 
 _TERM = ", ".join(f"'{g}'" for g in P.GENERIC_TERMS)
@@ -345,8 +347,12 @@ ORACLES = {
         d AS (SELECT t.system, round(t.s - b.s, 3) AS x FROM t JOIN t b ON b.id = t.id AND b.system = 'V1' WHERE t.system <> 'V1'),
         r AS (SELECT *, rank() OVER (PARTITION BY system ORDER BY abs(x)) + (count(*) OVER (PARTITION BY system, abs(x)) - 1) / 2 AS rk FROM d WHERE x <> 0),
         s AS (SELECT system, count(*) AS n, sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN x < 0 THEN rk ELSE 0 END) AS w_minus FROM r GROUP BY system),
-        z AS (SELECT *, least(w_plus, w_minus) AS w, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM s)
-        SELECT system, n, w_plus, w_minus, w, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(z, 6) AS z, round(abs(z) / sqrt(n), 6) AS effect_r FROM z""",
+        z AS (SELECT *, least(w_plus, w_minus) AS w, (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM s),
+        tie AS (SELECT system, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT system, abs(x) AS a, count(*)::DOUBLE AS c FROM d WHERE x <> 0 GROUP BY ALL) GROUP BY system),
+        x_ AS (SELECT system, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM z JOIN tie USING (system)),
+        -- the complementary error function as an integral over 20,000 steps
+        tail AS (SELECT system, round(least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000), 6) AS p FROM x_)
+        SELECT system, n, w_plus, w_minus, w, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(z, 6) AS z, round(abs(z) / sqrt(n), 6) AS effect_r, p FROM z JOIN tail USING (system)""",
     "latency_percentiles": f"""SELECT phase, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, min(v) AS least, max(v) AS most, round(quantile_cont(v, 0.5), 6) AS median,
         quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, list_sort(list(v))[count(v) // 2 + 1] AS upper_median
         FROM (SELECT phase, elapsed_s AS v FROM {_RUN} WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s)) GROUP BY phase""",
