@@ -9,7 +9,7 @@ from tamizal.functions import predicates as P
 from tamizal.functions import text as T
 from tamizal.operators import retrieval as R
 from tamizal.plans import sql as S
-from tamizal.session import materialize
+from tamizal.session import materialize, standing
 from tamizal.sources.tables import lines, spread, table, vacantes
 
 
@@ -37,10 +37,10 @@ def lsh_top10(spark: SparkSession, folder: str) -> DataFrame:
     return R.lsh_top_k(*_vectors(spark, folder))
 
 
-def _index(spark: SparkSession, folder: str, part: str | None = None) -> DataFrame:
-    """The lexical index of the documents, written once and read for weights, lengths and hits."""
+def _index(spark: SparkSession, folder: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The lexical index of the documents, built once for the files as they are and read by every search."""
     d = table(spark, folder, "documents").select("doc_id", "text", *([part] if part else [])).where(f"{part} is not null" if part else "true")
-    return materialize(R.postings(spread(d), "doc_id", "text", part), "postings")
+    return standing(d, f"lexical-{part}", lambda df: R.lexical_index(spread(df), "doc_id", "text", part))
 
 
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def bm25_partitioned(spark: SparkSession, folder: str) -> DataFrame:
 
 def _hashed(spark: SparkSession, folder: str) -> DataFrame:
     v = lambda df, key, text: df.select(F.col(key).cast("bigint").alias("k"), R.hashed_vector(F.col(text)).alias("v"))
-    rows = v(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+    (rows,) = standing(table(spark, folder, "documents").select("doc_id", "text"), "vectors", lambda df: (v(spread(df), "doc_id", "text"),))
     # queries and documents are two key spaces: a query's key is kept apart by its sign
     asked = v(_asked(spark, folder), "id", "query").withColumn("k", -F.col("k"))
     found = R.dense_top_k(rows, asked, k=10, key="k", vector="v")
@@ -127,7 +127,74 @@ def article_anchor(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(first, "article").select("id", "article", F.col("at.segment").alias("segment"), F.col("at.line_no").alias("line_no"))
 
 
-QUERIES = {f.__name__: f for f in (dense_top10, dense_partitioned, lsh_top10, bm25_top10, bm25_partitioned, hashed_dense_top10, rrf_fuse20, rerank_overlap5, global_merge6, anchor_check, global_fallback, neighbours, next_page_continuation, article_anchor)}
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return vacantes(spark, folder, "seq", "source", "page", "extraction", "workspace_id", "text")
+
+
+def _anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """id of the bank questions that name an article with a heading, and the first segment that has it."""
+    found = article_anchor(spark, folder).select("id", F.col("segment").alias("hit"))
+    return found.join(_segments(spark, folder).select(F.col("id").alias("hit"), "source", "page"), "hit")
+
+
+def same_page_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Table rows on the pages of the articles that bank questions name."""
+    return R.same_page_tables(_anchors(spark, folder).select("hit", "source", "page").distinct(), _segments(spark, folder))
+
+
+def _hybrid(spark: SparkSession, folder: str, questions: DataFrame, k: int = 5) -> DataFrame:
+    """id, segment and rank: both rankings of the segments for each question, fused, and the best of these under the pair score."""
+    source = table(spark, folder, "vacantes").select("id", "text")
+    index = standing(source, "segments", lambda df: R.lexical_index(spread(df.dropDuplicates(["id"])), "id", "text"))
+    vector = lambda df, key, text: df.select(key.alias("k"), R.hashed_vector(F.col(text)).alias("v"))
+    (rows,) = standing(source, "segment_vectors", lambda df: (vector(spread(df.dropDuplicates(["id"])), F.col("id"), "text"),))
+    dense = R.dense_top_k(rows, vector(questions, F.concat(F.lit("?"), "id"), "query"), k=10, key="k", vector="v").select(F.substr("query", F.lit(2)).alias("id"), F.col("k").alias("segment"), "rank")
+    lexical = R.bm25_top_k(index, questions.withColumnRenamed("id", "question"), key="id", query_key="question").select(F.col("question").alias("id"), F.col("id").alias("segment"), "rank")
+    fused = R.fuse(dense, lexical, ["id", "segment"]).select("id", "segment")
+    texts = vacantes(spark, folder, "text").select(F.col("id").alias("segment"), "text")
+    return R.rerank(fused.join(texts, "segment").join(questions.select("id", "query"), "id"), "id", "segment", "query", "text", k).select("id", "segment", "rank")
+
+
+def retrieve_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """What is fetched for each bank question: the article it names with its page and continuation, or the five best segments of the hybrid search."""
+    bank = table(spark, folder, "question_bank").where("query is not null").select("id", "query")
+    anchors = materialize(_anchors(spark, folder), "anchors")
+    return R.retrieve(bank, anchors, _segments(spark, folder), lambda q: _hybrid(spark, folder, q))
+
+
+def workspace_retrieve(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight best segments of each workspace for every fiftieth query: twenty by vectors and twenty by words within the workspace, forty fused, reranked."""
+    source = table(spark, folder, "vacantes").where("workspace_id is not null").select("id", "workspace_id", "text")
+    index = standing(source, "workspaces", lambda df: R.lexical_index(spread(df.dropDuplicates(["id"])), "id", "text", "workspace_id"))
+    vector = lambda df, key, *more: df.select(key.alias("k"), *more, R.hashed_vector(F.col("text")).alias("v"))
+    (rows,) = standing(source, "workspace_vectors", lambda df: (vector(spread(df.dropDuplicates(["id"])), F.col("id"), "workspace_id"),))
+    asked = _asked(spark, folder).select(F.col("id").cast("string").alias("query_id"), F.col("query").alias("text"))
+    dense = R.dense_top_k(rows, vector(asked, F.concat(F.lit("?"), "query_id")), k=20, key="k", vector="v", part="workspace_id", every=True)
+    owner = rows.select("k", "workspace_id")
+    pair = F.concat_ws("|", "query_id", "workspace_id")
+    dense = dense.join(owner, "k").select(F.concat_ws("|", F.substr("query", F.lit(2)), "workspace_id").alias("pair"), F.col("k").alias("segment"), "rank")
+    each = asked.crossJoin(owner.select("workspace_id").distinct()).select(pair.alias("pair"), "workspace_id", F.col("text").alias("query"))  # the stated queries in every workspace
+    lexical = R.bm25_top_k(index, each, k=20, key="id", query_key="pair", part="workspace_id", min_score=0.0).select("pair", F.col("id").alias("segment"), "rank")
+    fused = R.fuse(dense, lexical, ["pair", "segment"], k=40).select("pair", "segment")
+    texts = vacantes(spark, folder, "text").select(F.col("id").alias("segment"), "text")
+    best = R.rerank(fused.join(texts, "segment").join(each.select("pair", "query"), "pair"), "pair", "segment", "query", "text", 8)
+    return best.select(F.split("pair", "[|]")[0].cast("int").alias("id"), F.split("pair", "[|]")[1].alias("workspace_id"), "segment", "rank")
+
+
+def lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the ten nearest vectors of every fiftieth, the share that the hashed index finds, and whether it is at least 0.9."""
+    exact, found = dense_top10(spark, folder).select("query", "vec_id"), lsh_top10(spark, folder).select("query", "vec_id")
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query", "vec_id"], "left")
+    return hits.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        dense_top10, dense_partitioned, lsh_top10, lsh_recall, bm25_top10, bm25_partitioned, hashed_dense_top10, rrf_fuse20, rerank_overlap5, global_merge6, anchor_check, global_fallback, neighbours,
+        next_page_continuation, article_anchor, same_page_rows, retrieve_segments, workspace_retrieve,
+    )
+}
 
 _DOT = "round(list_dot_product(list_transform({a}, lambda x: x::DOUBLE), list_transform({b}, lambda x: x::DOUBLE)), 6)"
 _SCORED = f"""SELECT q.vec_id AS query, e.vec_id, {_DOT.format(a='q.embedding', b='e.embedding')} AS score, e.label, q.label AS query_label
@@ -135,35 +202,68 @@ _SCORED = f"""SELECT q.vec_id AS query, e.vec_id, {_DOT.format(a='q.embedding',
 _ASKED = "(SELECT * FROM queries WHERE id % 50 = 0 AND query IS NOT NULL)"
 
 
-def _bm25(part: str, query_part: str, k: int, zero: str) -> str:
+_DOCUMENTS, _SEGMENTS = "documents", "(SELECT DISTINCT id AS doc_id, workspace_id, text FROM vacantes)"
+
+
+def _bm25(part: str, query_part: str, k: int, zero: str, rows: str = _DOCUMENTS, asked: str = _ASKED, key: str = "id") -> str:
+    """CTEs up to best: the k best texts of rows (doc_id, text) for each asked query."""
     where = "" if part == "''" else f"WHERE {part} IS NOT NULL"
-    asked = _ASKED if part == "''" else f"(SELECT * FROM {_ASKED} WHERE categoria_correcta IS NOT NULL)"
     return f"""
-        toks AS (SELECT doc_id, {part} AS part, unnest({S.tokens("coalesce(text, '')")}) AS term FROM documents {where}),
-        idx AS (SELECT part, term, doc_id, count(*) AS tf FROM toks GROUP BY ALL),
-        lens AS (SELECT part, doc_id, sum(tf) AS length FROM idx GROUP BY ALL),
+        docs AS (SELECT doc_id, {part} AS part, {S.tokens("coalesce(text, '')")} AS ts FROM {rows} {where}),
+        idx AS (SELECT part, term, doc_id, count(*) AS tf FROM (SELECT part, doc_id, unnest(ts) AS term FROM docs) GROUP BY ALL),
+        lens AS (SELECT part, doc_id, len(ts) AS length FROM docs),
         stats AS (SELECT part, count(*) AS texts, avg(length) AS mean_length FROM lens GROUP BY part),
         raw AS (SELECT i.part, term, ln((texts - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean_length) AS mean_length FROM idx i JOIN stats s ON s.part = i.part GROUP BY i.part, term, texts),
         weight AS (SELECT part, term, mean_length, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY part) ELSE idf END AS idf FROM raw),
-        ask AS (SELECT id, {query_part} AS part, unnest({S.tokens('query')}) AS term FROM {asked}),
+        ask AS (SELECT {key} AS id, {query_part} AS part, unnest({S.tokens('query')}) AS term FROM {asked}),
         hits AS (SELECT a.id, i.doc_id, round(sum(w.idf * i.tf * 2.5 / (i.tf + 1.5 * (0.25 + 0.75 * l.length / w.mean_length))), 6) AS score
                  FROM ask a JOIN idx i ON i.part = a.part AND i.term = a.term JOIN weight w ON w.part = i.part AND w.term = i.term JOIN lens l ON l.part = i.part AND l.doc_id = i.doc_id GROUP BY a.id, i.doc_id),
         best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM hits WHERE score {zero} QUALIFY rank <= {k})"""
 
 
+_IN_CATEGORY = f"(SELECT * FROM {_ASKED} WHERE categoria_correcta IS NOT NULL)"
+
+
 def _vector(key: str, rows: str, text: str) -> str:
     return f"SELECT {key}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, ('0x' || md5(t)[1:6])::INT % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT {key}, unnest({S.tokens(text)}) AS t FROM {rows}) GROUP BY ALL)"
 
 
-_HASHED = f"""
-        dv AS ({_vector('doc_id', 'documents', "coalesce(text, '')")}), qv AS ({_vector('id', _ASKED, 'query')}),
-        dots AS (SELECT id, doc_id, sum(q.w * d.w) AS s FROM qv q JOIN dv d ON d.b = q.b GROUP BY ALL),
-        near AS (SELECT q.id, d.doc_id, coalesce(round(s, 6), 0) AS score FROM (SELECT id FROM {_ASKED}) q, documents d LEFT JOIN dots ON dots.id = q.id AND dots.doc_id = d.doc_id),
-        dense AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 10)"""
-_FUSED = """
+def _hashed_sql(k: int = 10, rows: str = _DOCUMENTS, asked: str = _ASKED, by: str = "id", key: str = "id", same: str = "true") -> str:
+    """CTEs up to dense: the k nearest texts of rows for each asked query, in the hashed embedding."""
+    return f"""
+        dv AS ({_vector('doc_id', rows, "coalesce(text, '')")}), qv AS ({_vector('qid', f"(SELECT DISTINCT {by} AS qid, query FROM {asked})", 'query')}),
+        dots AS (SELECT qid, doc_id, sum(q.w * d.w) AS s FROM qv q JOIN dv d ON d.b = q.b GROUP BY ALL),
+        near AS (SELECT q.id, d.doc_id, coalesce(round(s, 6), 0) AS score FROM (SELECT {key} AS id, {by} AS qid, * EXCLUDE (id) FROM {asked}) q JOIN {rows} d ON {same} LEFT JOIN dots ON dots.qid = q.qid AND dots.doc_id = d.doc_id),
+        dense AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= {k})"""
+
+
+_HASHED = _hashed_sql()
+
+
+def _fused(k: int = 20) -> str:
+    return f"""
         both_ AS (SELECT id, doc_id, max(a) AS first_rank, max(b) AS second_rank FROM (SELECT id, doc_id, rank AS a, NULL AS b FROM dense UNION ALL SELECT id, doc_id, NULL, rank FROM best) GROUP BY ALL),
         fused AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, first_rank NULLS LAST, second_rank NULLS LAST, doc_id) AS rank
-                  FROM (SELECT *, round(coalesce(1 / (60 + first_rank), 0) + coalesce(1 / (60 + second_rank), 0), 9) AS score FROM both_) QUALIFY rank <= 20)"""
+                  FROM (SELECT *, round(coalesce(1 / (60 + first_rank), 0) + coalesce(1 / (60 + second_rank), 0), 9) AS score FROM both_) QUALIFY rank <= {k})"""
+
+
+_FUSED = _fused()
+
+
+def _reranked(k: int, rows: str, asked: str, key: str = "id") -> str:
+    """CTEs up to reranked: the k best of fused under the pair score."""
+    return f"""
+        pairs AS (SELECT f.id, f.doc_id, f.rank AS fused_rank, list_distinct({S.tokens('q.query')}) AS a, list_distinct({S.tokens("coalesce(d.text, '')")}) AS b FROM fused f JOIN (SELECT {key} AS qk, query FROM {asked}) q ON q.qk = f.id JOIN {rows} d ON d.doc_id = f.doc_id),
+        reranked AS (SELECT id, doc_id, fused_rank, rerank, row_number() OVER (PARTITION BY id ORDER BY rerank DESC, doc_id) AS rank
+        FROM (SELECT *, round(1 / (1 + exp(-(8 * CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END - 4))), 6) AS rerank FROM pairs) QUALIFY rank <= {k})"""
+
+
+_ANCHOR = f"""asked_ AS (SELECT id, regexp_extract({S.fold('query')}, '\\b(?:articulo|art\\.?)\\s+([0-9]+)\\b', 1) AS number FROM question_bank),
+        head AS (SELECT id AS segment, seq, line_no, regexp_extract(line, '^\\s*(?i:Art[íiÍ]culo)\\s+([0-9]+)\\s*[°º]?\\s*[.:–—]?\\s*\\p{{Lu}}', 1) AS number FROM {S.lines('(SELECT DISTINCT id, seq, text FROM vacantes)', 'id, seq')}),
+        anchor AS (SELECT a.id, h.segment AS hit, v.source, v.page, v.seq FROM asked_ a JOIN head h ON h.number <> '' AND a.number <> '' AND h.number::INT = a.number::INT
+                   JOIN (SELECT DISTINCT id, source, page, seq FROM vacantes) v ON v.id = h.segment QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY h.seq, h.segment, h.line_no) = 1),
+        segs AS (SELECT DISTINCT id, seq, source, page, extraction, text FROM vacantes),
+        same AS (SELECT DISTINCT a.hit, s.id, s.seq FROM anchor a JOIN segs s ON s.source = a.source AND s.page = a.page WHERE s.extraction IN ('textract_table_row', 'native_table_row', 'table_row') AND s.id <> a.hit)"""
 _GENERIC = ", ".join(f"'{g}'" for g in P.GENERIC_TERMS)
 
 
@@ -171,13 +271,22 @@ ORACLES = {
     "dense_top10": f"SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM ({_SCORED}) QUALIFY rank <= 10",
     "dense_partitioned": f"SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM ({_SCORED}) WHERE label = query_label QUALIFY rank <= 5",
     "bm25_top10": f"WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')} SELECT id, doc_id, score, rank FROM best",
-    "bm25_partitioned": f"WITH {_bm25('category', 'categoria_correcta', 5, '> 0')} SELECT id, doc_id, score, rank FROM best",
+    "bm25_partitioned": f"WITH {_bm25('category', 'categoria_correcta', 5, '> 0', asked=_IN_CATEGORY)} SELECT id, doc_id, score, rank FROM best",
     "hashed_dense_top10": f"WITH {_HASHED} SELECT id, doc_id, score, rank FROM dense",
     "rrf_fuse20": f"WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')}, {_HASHED}, {_FUSED} SELECT id, doc_id, first_rank, second_rank, score, rank FROM fused",
-    "rerank_overlap5": f"""WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')}, {_HASHED}, {_FUSED},
-        pairs AS (SELECT f.id, f.doc_id, f.rank AS fused_rank, list_distinct({S.tokens('q.query')}) AS a, list_distinct({S.tokens("coalesce(d.text, '')")}) AS b FROM fused f JOIN {_ASKED} q ON q.id = f.id JOIN documents d ON d.doc_id = f.doc_id)
-        SELECT id, doc_id, fused_rank, rerank, row_number() OVER (PARTITION BY id ORDER BY rerank DESC, doc_id) AS rank
-        FROM (SELECT *, round(1 / (1 + exp(-(8 * CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END - 4))), 6) AS rerank FROM pairs) QUALIFY rank <= 5""",
+    "rerank_overlap5": f"WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')}, {_HASHED}, {_FUSED}, {_reranked(5, _DOCUMENTS, _ASKED)} SELECT id, doc_id, fused_rank, rerank, rank FROM reranked",
+    "lsh_recall": "SELECT sum(least(10, (SELECT count(*) FROM embeddings) - 1))::BIGINT AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "same_page_rows": f"WITH {_ANCHOR} SELECT hit, id, seq FROM same",
+    "retrieve_segments": f"""WITH {_ANCHOR},
+        going AS (SELECT a.hit, s.id, s.seq FROM (SELECT DISTINCT hit, source, page FROM anchor) a JOIN segs s ON s.source = a.source AND s.page = a.page + 1
+            WHERE length(s.text) > 180 AND NOT regexp_matches(s.text, '^\\s*(?i:Art[íiÍ]culo)\\s+[0-9]+\\s*[°º]?\\s*[.:–—]?\\s*\\p{{Lu}}') QUALIFY row_number() OVER (PARTITION BY a.hit ORDER BY s.seq, s.id) = 1),
+        article AS (SELECT id, hit AS segment, 0 AS turn, seq, 'article' AS how FROM anchor UNION ALL SELECT a.id, s.id, 1, s.seq, 'same_page' FROM anchor a JOIN same s USING (hit) UNION ALL SELECT a.id, g.id, 2, g.seq, 'continuation' FROM anchor a JOIN going g USING (hit)),
+        open_ AS (SELECT id, query FROM question_bank WHERE query IS NOT NULL AND id NOT IN (SELECT id FROM anchor)),
+        {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0', _SEGMENTS, 'open_')}, {_hashed_sql(10, _SEGMENTS, 'open_')}, {_fused()}, {_reranked(5, _SEGMENTS, 'open_')}
+        SELECT id, segment, row_number() OVER (PARTITION BY id ORDER BY turn, seq, segment) AS place, how FROM article UNION ALL SELECT id, doc_id, rank, 'hybrid' FROM reranked""",
+    "workspace_retrieve": f"""WITH each_ AS (SELECT q.id, q.query, w.workspace_id, q.id || '|' || w.workspace_id AS pair FROM {_ASKED} q, (SELECT DISTINCT workspace_id FROM vacantes WHERE workspace_id IS NOT NULL) w),
+        {_bm25('workspace_id', 'workspace_id', 20, '> 0', _SEGMENTS, 'each_', 'pair')}, {_hashed_sql(20, _SEGMENTS, 'each_', 'id', 'pair', 'd.workspace_id = q.workspace_id')}, {_fused(40)}, {_reranked(8, _SEGMENTS, 'each_', 'pair')}
+        SELECT split_part(id, '|', 1)::INT AS id, split_part(id, '|', 2) AS workspace_id, doc_id AS segment, rank FROM reranked""",
     "global_merge6": f"""WITH parts AS (SELECT query, vec_id, label, score, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS part_rank FROM ({_SCORED}) QUALIFY part_rank <= 3)
         SELECT query, vec_id, label, score, part_rank, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM parts QUALIFY rank <= 6""",
     "anchor_check": f"""

@@ -41,6 +41,30 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
+_STANDING: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def standing(source: DataFrame, name: str, build) -> tuple[DataFrame, ...]:  # noqa: ANN001
+    """The tables that build(source) gives, written once in a session for the source's files as they are now, then only read.
+
+    A file that is added, taken away or written anew makes the tables be built again. A source that doesn't come from files is built each time.
+    """
+    spark = source.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for f in sorted(source.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(files))
+    if not files or key not in _STANDING:
+        tables = tuple(materialize(df, name) for df in build(source))
+        if not files:
+            return tables
+        _STANDING[key] = tables
+    return _STANDING[key]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -16,18 +16,59 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, so that readers see the old table or the new one, never half of one."""
+    """Write a new version of the table beside the present one and turn the pointer to it; read with read_replaced.
+
+    The pointer is one file that is replaced by a rename that overwrites, so a reader finds the old version or the new one at any moment.
+    The version before stays for those who still read it; older ones go.
+    """
     spark = df.sparkSession
-    staging = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    target, fs = _fs(spark, path)
-    old = None
-    if fs.exists(target):
-        old, _ = _fs(spark, f"{staging}.old")
-        fs.rename(target, old)
-    fs.rename(_fs(spark, staging)[0], target)
-    if old is not None:
-        fs.delete(old, True)
+    before = _version(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf)
+    write_bytes(spark, f"{path}/_next-{version}", version.encode())
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = overwrite
+    context.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current"), how)
+    _, fs = _fs(spark, path)
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The present version of a table that replace_atomically writes."""
+    version = _version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    p, fs = _fs(spark, f"{path}/_current")
+    return read_bytes(spark, f"{path}/_current").decode() if fs.exists(p) else None
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file whole or not at all: beside its place first, then renamed."""
+    jvm = spark.sparkContext._jvm
+    p, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(p, True)
+    out.write(bytearray(content))
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, False)
+    fs.rename(p, target)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """The content of a small file."""
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()
+    return bytes(rows[0]["content"])
 
 
 def write_index(segments: DataFrame, folder: str, mode: str = "errorifexists") -> None:
@@ -61,10 +102,11 @@ def append_pending(todo: DataFrame, done_path: str, key: list[str], work) -> int
     p, fs = _fs(spark, done_path)
     if fs.exists(p):
         todo = todo.join(spark.read.parquet(done_path).select(*key), key, "left_anti")
-    out = work(todo)
-    before = out.count()
-    out.write.mode("append").parquet(done_path)
-    return before
+    run = uuid.uuid4().hex
+    # written first and counted then, so the work is done once and what is counted is what is there
+    work(todo).withColumn("run_", F.lit(run)).write.mode("append").partitionBy("run_").parquet(done_path)
+    p, fs = _fs(spark, f"{done_path}/run_={run}")
+    return spark.read.parquet(f"{done_path}/run_={run}").count() if fs.exists(p) else 0
 
 
 def drop_expired(spark: SparkSession, folder: str, column: str, today: datetime.date, days: int = 7) -> list[str]:
