@@ -8,8 +8,9 @@ expensive stage runs once.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,48 +21,126 @@ from tamizal.session import materialize
 
 @dataclass(frozen=True)
 class Stage:
+    """phase: what its answers are marked with. answer: pending questions to key, answer and evidence (what the answer rests on, as text)."""
+
     phase: str
     answer: Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Variant:
-    """What a named pipeline takes part of: retrieval (dense, lexical, fused, reranked), routing, structured answers, context expansion."""
+    """What a named pipeline takes part of: retrieval (dense, lexical, reranked; two rankings are fused), routing, answers from tables, context expansion, a cache."""
 
     name: str
     retrieval: Sequence[str] = ("dense",)
     router: bool = False
     structured: bool = False
     neighbours: bool = False
-    settings: dict = field(default_factory=dict)
+    cache: bool = False
+    k: int = 5
 
 
 # fixed values: the compositions that are compared
 VARIANTS = {
     v.name: v
     for v in (
-        Variant("V1"), Variant("V2", ("dense", "reranked"), True), Variant("V3", ("dense", "lexical", "fused"), True), Variant("V4", ("dense", "lexical", "fused", "reranked"), True, True),
-        Variant("V5", ("dense", "lexical", "fused")), Variant("V6", ("dense", "lexical", "fused", "reranked")), Variant("V4d", ("dense", "lexical", "fused", "reranked"), True, True, True),
-        Variant("D"), Variant("H", ("dense", "lexical", "fused")), Variant("F", ("dense", "lexical", "fused", "reranked")), Variant("G", ("dense", "lexical", "fused", "reranked"), False, True),
+        Variant("V1"), Variant("V2", ("dense", "reranked"), True), Variant("V3", ("dense", "lexical"), True), Variant("V4", ("dense", "lexical", "reranked"), True, True, cache=True),
+        Variant("V5", ("dense", "lexical")), Variant("V6", ("dense", "lexical", "reranked")), Variant("V4d", ("dense", "lexical", "reranked"), True, True, True),
+        Variant("D", k=8), Variant("H", ("dense", "lexical"), k=8), Variant("F", ("dense", "lexical", "reranked"), k=8), Variant("G", ("dense", "lexical", "reranked"), True, True, cache=True, k=8),
     )
 }
 
 
+@dataclass(frozen=True)
+class Sources:
+    """What a pipeline draws on.
+
+    search: (questions, retrieval, k) to key, segment and rank. texts: segment, text, source, page, seq. cells: as the table language takes
+    them. cache: key, query, vector and answer of earlier questions. vector: a text column's embedding.
+    """
+
+    search: Callable[[DataFrame, Sequence[str], int], DataFrame]
+    texts: DataFrame
+    cells: DataFrame | None = None
+    cache: DataFrame | None = None
+    vector: Callable[[Column], Column] | None = None
+
+
+def stages(variant: Variant, sources: Sources) -> list[Stage]:
+    """The stages of a variant in order: cache, rules, tables, then retrieval with generation, which answers all that is left."""
+    out = []
+    if variant.cache and sources.cache is not None:
+        out.append(from_cache(sources.cache, sources.vector))
+    if variant.router:
+        out.append(rule_exit())
+    if variant.structured and sources.cells is not None:
+        out.append(from_tables(sources.cells))
+    return [*out, generation(variant, sources)]
+
+
+def from_cache(cache: DataFrame, vector: Callable[[Column], Column]) -> Stage:
+    """Answers of equal or verified similar earlier questions."""
+    from tamizal.operators import cache as C
+
+    def answer(q: DataFrame) -> DataFrame:
+        # the keys of both sides are kept apart
+        asked = q.select(F.concat(F.lit("?"), "key").alias("key"), "query", vector(F.col("query")).alias("vector"))
+        hits = C.lookup(asked, cache.select(F.col("key").cast("string").alias("key"), "query", "vector"))
+        return hits.join(cache.select(F.col("key").cast("string").alias("cached"), "answer"), "cached").select(F.substr("key", F.lit(2)).alias("key"), "answer", "how").withColumnRenamed("how", "evidence")
+
+    return Stage("cache_hit", answer)
+
+
+def from_tables(cells: DataFrame) -> Stage:
+    """Answers that the tables give."""
+    from tamizal.operators.table_language import table_answers
+
+    return Stage("structured", lambda q: table_answers(q.select("key", "query"), cells, "key").select("key", "answer", F.col("kind").alias("evidence")))
+
+
+def generation(variant: Variant, sources: Sources, write: Callable[[Column, Column], Column] | None = None) -> Stage:
+    """Answers from fetched segments, with their neighbours on the page where the variant has them; the fixed reply where nothing is found. write: question and fragments to an answer, here in place of a model."""
+    from tamizal.operators.retrieval import with_neighbours
+
+    def answer(q: DataFrame) -> DataFrame:
+        found = materialize(sources.search(q.select(F.col("key").alias("id"), "query"), variant.retrieval, variant.k).select(F.col("id").alias("key"), "segment", "rank"), "found")
+        context = found.select("key", "segment", "rank", F.lit(0).alias("distance"), F.col("segment").alias("hit"))
+        if variant.neighbours:
+            hits = found.select(F.col("segment").alias("hit")).distinct().join(sources.texts.withColumnRenamed("segment", "hit"), "hit").select("hit", "source", "page", "seq")
+            near = with_neighbours(hits, sources.texts.select("segment", "source", "page", "seq")).select("hit", "segment", "distance").where("distance <> 0")
+            more = found.withColumnRenamed("segment", "hit").join(near, "hit").select("key", "segment", "rank", "distance", "hit")
+            context = context.unionByName(more.withColumn("distance", F.col("distance").cast("int")))
+        parts = context.join(sources.texts.select("segment", "text"), "segment").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance", "segment", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("fragments"))
+        used = found.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]), ",").alias("evidence"))
+        both = q.select("key", "query").join(parts, "key", "left").join(used, "key", "left").withColumn("fragments", F.coalesce("fragments", F.array().cast("array<string>")))
+        text = (write or extractive)(F.col("query"), F.col("fragments"))
+        return both.select("key", F.coalesce(text, prompt(F.col("query"), F.array().cast("array<string>"))).alias("answer"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+    return Stage("generated", answer)
+
+
 def run(questions: DataFrame, stages: Sequence[Stage], key: str = "key") -> DataFrame:
-    """Answers of all stages with their phase; questions that no stage answers have phase unanswered and a null answer."""
+    """key, answer, evidence and phase: the answers of all stages; questions that no stage answers have phase unanswered and nulls. Each stage's time is kept with its phase in TIMES."""
     pending, out = questions, None
     for i, stage in enumerate(stages):
-        got = materialize(stage.answer(pending).select(key, "answer"), f"stage{i}")
+        began = time.perf_counter()
+        got = stage.answer(pending)
+        got = materialize(got.select(key, "answer", F.col("evidence") if "evidence" in got.columns else F.lit(None).cast("string").alias("evidence")), f"stage{i}")
+        TIMES[stage.phase] = time.perf_counter() - began
         part = got.withColumn("phase", F.lit(stage.phase))
         out = part if out is None else out.unionByName(part)
         pending = pending.join(got.select(key), key, "left_anti")
-    rest = pending.select(key, F.lit(None).cast("string").alias("answer"), F.lit("unanswered").alias("phase"))
+    rest = pending.select(key, F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("evidence"), F.lit("unanswered").alias("phase"))
     return rest if out is None else out.unionByName(rest)
 
 
+#: Seconds that each phase took when it last ran in this session.
+TIMES: dict[str, float] = {}
+
+
 def rule_exit(text: str = "La consulta está fuera del ámbito de admisión.") -> Stage:
     """Answers questions that a rule puts outside the domain."""
-    return Stage("router_ood", lambda q: q.where(P.rule_route(P.rule_text(F.col("query"))) == "FUERA_DE_DOMINIO").select("key", F.lit(text).alias("answer")))
+    return Stage("router_ood", lambda q: q.where(P.rule_route(P.rule_text(F.col("query"))) == "FUERA_DE_DOMINIO").select("key", F.lit(text).alias("answer"), F.lit("FUERA_DE_DOMINIO").alias("evidence")))
 
 
 def prompt(query: Column, fragments: Column, none: str = "No encontré esa información en los documentos.") -> Column:

@@ -142,24 +142,31 @@ def same_page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return R.same_page_tables(_anchors(spark, folder).select("hit", "source", "page").distinct(), _segments(spark, folder))
 
 
-def _hybrid(spark: SparkSession, folder: str, questions: DataFrame, k: int = 5) -> DataFrame:
-    """id, segment and rank: both rankings of the segments for each question, fused, and the best of these under the pair score."""
+def search_segments(spark: SparkSession, folder: str, questions: DataFrame, retrieval: tuple[str, ...] = ("dense", "lexical", "reranked"), k: int = 5) -> DataFrame:
+    """id, segment and rank: the k best segments for each question (id, query) by one ranking or two fused ones, reranked under the pair score if asked for."""
     source = table(spark, folder, "vacantes").select("id", "text")
-    index = standing(source, "segments", lambda df: R.lexical_index(spread(df.dropDuplicates(["id"])), "id", "text"))
     vector = lambda df, key, text: df.select(key.alias("k"), R.hashed_vector(F.col(text)).alias("v"))
-    (rows,) = standing(source, "segment_vectors", lambda df: (vector(spread(df.dropDuplicates(["id"])), F.col("id"), "text"),))
-    dense = R.dense_top_k(rows, vector(questions, F.concat(F.lit("?"), "id"), "query"), k=10, key="k", vector="v").select(F.substr("query", F.lit(2)).alias("id"), F.col("k").alias("segment"), "rank")
-    lexical = R.bm25_top_k(index, questions.withColumnRenamed("id", "question"), key="id", query_key="question").select(F.col("question").alias("id"), F.col("id").alias("segment"), "rank")
-    fused = R.fuse(dense, lexical, ["id", "segment"]).select("id", "segment")
-    texts = vacantes(spark, folder, "text").select(F.col("id").alias("segment"), "text")
-    return R.rerank(fused.join(texts, "segment").join(questions.select("id", "query"), "id"), "id", "segment", "query", "text", k).select("id", "segment", "rank")
+    found = []
+    if "dense" in retrieval:
+        (rows,) = standing(source, "segment_vectors", lambda df: (vector(spread(df.dropDuplicates(["id"])), F.col("id"), "text"),))
+        dense = R.dense_top_k(rows, vector(questions, F.concat(F.lit("?"), "id"), "query"), k=10, key="k", vector="v")
+        found.append(dense.select(F.substr("query", F.lit(2)).alias("id"), F.col("k").alias("segment"), "rank"))
+    if "lexical" in retrieval:
+        index = standing(source, "segments", lambda df: R.lexical_index(spread(df.dropDuplicates(["id"])), "id", "text"))
+        lexical = R.bm25_top_k(index, questions.withColumnRenamed("id", "question"), key="id", query_key="question")
+        found.append(lexical.select(F.col("question").alias("id"), F.col("id").alias("segment"), "rank"))
+    best = found[0] if len(found) == 1 else R.fuse(*found, ["id", "segment"]).select("id", "segment", "rank")
+    if "reranked" in retrieval:
+        texts = vacantes(spark, folder, "text").select(F.col("id").alias("segment"), "text")
+        best = R.rerank(best.select("id", "segment").join(texts, "segment").join(questions.select("id", "query"), "id"), "id", "segment", "query", "text", k).select("id", "segment", "rank")
+    return best.where(F.col("rank") <= k)
 
 
 def retrieve_segments(spark: SparkSession, folder: str) -> DataFrame:
     """What is fetched for each bank question: the article it names with its page and continuation, or the five best segments of the hybrid search."""
     bank = table(spark, folder, "question_bank").where("query is not null").select("id", "query")
     anchors = materialize(_anchors(spark, folder), "anchors")
-    return R.retrieve(bank, anchors, _segments(spark, folder), lambda q: _hybrid(spark, folder, q))
+    return R.retrieve(bank, anchors, _segments(spark, folder), lambda q: search_segments(spark, folder, q))
 
 
 def workspace_retrieve(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,6 +282,14 @@ ORACLES = {
     "hashed_dense_top10": f"WITH {_HASHED} SELECT id, doc_id, score, rank FROM dense",
     "rrf_fuse20": f"WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')}, {_HASHED}, {_FUSED} SELECT id, doc_id, first_rank, second_rank, score, rank FROM fused",
     "rerank_overlap5": f"WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')}, {_HASHED}, {_FUSED}, {_reranked(5, _DOCUMENTS, _ASKED)} SELECT id, doc_id, fused_rank, rerank, rank FROM reranked",
+    "global_fallback": f"""WITH primary_ AS (SELECT * FROM (WITH {_bm25('category', 'categoria_correcta', 5, '> 0', asked=_IN_CATEGORY)} SELECT id, doc_id, score, rank FROM best)),
+        backup AS (SELECT * FROM (WITH {_bm25(chr(39) * 2, chr(39) * 2, 10, '<> 0')} SELECT id, doc_id, score, rank FROM best) WHERE rank <= 2),
+        terms AS (SELECT DISTINCT id, {S.fold('t')} AS t FROM (SELECT id, unnest({S.tokens('query')}) AS t FROM {_IN_CATEGORY}) WHERE length({S.fold('t')}) >= 4 AND {S.fold('t')} NOT IN ({_GENERIC})),
+        seen AS (SELECT DISTINCT id, {S.fold('t')} AS t FROM (SELECT p.id, unnest({S.tokens("coalesce(d.text, '')")}) AS t FROM primary_ p JOIN documents d ON d.doc_id = p.doc_id)),
+        need AS (SELECT q.id, count(t.t) AS size, count(s.t) AS hits FROM {_IN_CATEGORY} q LEFT JOIN terms t ON t.id = q.id LEFT JOIN seen s ON s.id = t.id AND s.t = t.t GROUP BY q.id),
+        weak AS (SELECT id FROM need WHERE id NOT IN (SELECT p.id FROM primary_ p JOIN documents d ON d.doc_id = p.doc_id WHERE d.text IS NOT NULL) OR NOT (size = 0 OR hits >= greatest(1, least(2, ceil(size * 0.35))))),
+        both_ AS (SELECT id, doc_id, score, rank, 'routed' AS scope, 0 AS turn FROM primary_ UNION ALL SELECT id, doc_id, score, rank, 'global_fallback', 1 FROM backup WHERE id IN (SELECT id FROM weak))
+        SELECT id, doc_id, score, scope FROM both_ QUALIFY row_number() OVER (PARTITION BY id, doc_id ORDER BY turn, rank) = 1""",
     "lsh_recall": "SELECT sum(least(10, (SELECT count(*) FROM embeddings) - 1))::BIGINT AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "same_page_rows": f"WITH {_ANCHOR} SELECT hit, id, seq FROM same",
     "retrieve_segments": f"""WITH {_ANCHOR},

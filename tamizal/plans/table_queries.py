@@ -335,6 +335,10 @@ ORACLES = {
         p AS (SELECT id, table_no, row_no, i, c, CASE WHEN coalesce(trim(headers[i + 1], ' '), '') <> '' THEN headers[i + 1] WHEN i = 0 THEN 'Item' ELSE 'Dato ' || i END AS h FROM r WHERE coalesce(trim(c, ' '), '') <> '')
         SELECT id, 'Tabla ' || table_no || ' — fila ' || row_no || ': ' || string_agg(h || ': ' || c, ' | ' ORDER BY i) AS row FROM p GROUP BY id, table_no, row_no""",
     "syllabus_headings": f"SELECT DISTINCT doc_id, {S.strip('line')} AS heading FROM {S.lines('documents', 'doc_id')} WHERE starts_with({S.strip('line')}, 'TEMARIO ') AND length({S.strip('line')}) <= 90",
+    # a mark is a word of its own before one that begins with a letter
+    "clause_counts": """WITH w AS (SELECT DISTINCT id, system, attempt, answer, list_filter(regexp_split_to_array(answer, '\\s+'), lambda t: t <> '') AS w FROM runs WHERE answer IS NOT NULL),
+        n AS (SELECT id, system, attempt, len(list_filter(range(1, len(w)), lambda i: regexp_full_match(w[i], '[0-9]+(\\.[0-9]+)*[.)]|[a-z]\\)') AND regexp_matches(w[i + 1], '^\\p{L}')))::INT AS clauses FROM w)
+        SELECT DISTINCT id, system, attempt, clauses FROM n WHERE clauses > 0""",
     "section_ends": f"""WITH a AS (SELECT source, seq, count(*) AS articles FROM {S.lines(_V, 'source, seq')} WHERE source IS NOT NULL AND regexp_matches(line, '{_ARTICLE}') GROUP BY ALL)
         SELECT source, seq, articles, lead(seq) OVER (PARTITION BY source ORDER BY seq) AS ends FROM a""",
     "rare_acronyms": "SELECT acronym, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda w: regexp_full_match(w, '[A-Z]{3,6}'))) AS acronym FROM documents WHERE text IS NOT NULL) GROUP BY acronym HAVING count(*) = 1",
