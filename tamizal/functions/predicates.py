@@ -184,3 +184,47 @@ def ordered_flags(*checks: tuple[str, Column]) -> Column:
     """The names of the checks that hold, in order; `ok` alone if none does."""
     found = F.filter(F.array(*(F.when(cond, F.lit(name)) for name, cond in checks)), lambda x: x.isNotNull())
     return F.when(F.size(found) == 0, F.array(F.lit("ok"))).otherwise(found)
+
+
+# fixed values: what a question must say, in normal form, to be one about days between dates, about topics, or about a consequence
+GATES = (
+    ("days", r"\b(cuantos|cuantas)\s+dias\b|\bdiferencia\b|\bfaltan\b|\btranscurren\b"),
+    ("topics", r"\b(temas|tema|contenido|entra|entran)\b"),
+    ("consequence", r"\b(que pasa|que ocurre|que sucede|que pasaria|consecuencia)\b"),
+)
+
+
+def gates(query: Column) -> Column:
+    """The names of the gates that a question passes, in order; a question about a consequence isn't sent to the resolvers of articles."""
+    n = T.norm(query)
+    return F.filter(F.array(*(F.when(n.rlike(pattern), F.lit(name)) for name, pattern in GATES)), lambda x: x.isNotNull())
+
+
+def fact_agrees(category: Column, query: Column, gold: Column, answer: Column) -> Column:
+    """Whether an answer has the fact of the expected one: the date asked for (all dates if none is), else the last number of a table question, else the article's number of a regulation question."""
+    want, got = T.dates(gold), T.dates(answer)
+    n = T.norm(query)
+    dated = F.when(n.contains("hasta"), F.array_contains(got, F.element_at(want, -1))).when(n.contains("desde"), F.array_contains(got, F.element_at(want, 1))).otherwise(F.size(F.array_except(want, got)) == 0)
+    numbers, told = T.integers(gold), T.integers(answer)
+    article = F.regexp_extract(T.fold(query), r"articulo\s+0*([0-9]+)", 1)
+    named = (article != "") & (F.regexp_extract(T.fold(answer), r"articulo\s+0*([0-9]+)", 1) == article)
+    fact = F.when(F.size(want) > 0, dated).when(category == "VACANTES", (F.size(numbers) > 0) & F.array_contains(told, F.element_at(numbers, -1))).when(category == "REGLAMENTO", named).otherwise(F.lit(False))
+    return F.coalesce(fact, F.lit(False))
+
+
+def agreement_status(category: Column, resolved: Column, source_matches: Column, agrees: Column, outside: str = "FUERA_DE_DOMINIO") -> Column:
+    """The first that holds: outside the domain, nothing resolved, another source, another fact, agreement."""
+    return F.when(category == outside, "not_applicable").when(~resolved, "not_resolved").when(~source_matches, "other_source").when(~agrees, "other_fact").otherwise("agrees")
+
+
+def ink_ratio(pixels: Column, dark: int = 230) -> Column:
+    """The share of a page's gray values (binary, a byte each) below dark; 0 for none. An Arrow-batched function, as no built-in counts bytes."""
+
+    @F.pandas_udf("double")
+    def share(column):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([None if x is None else float(np.mean(np.frombuffer(x, dtype=np.uint8) < dark)) if len(x) else 0.0 for x in column], dtype="float64")
+
+    return share(pixels)

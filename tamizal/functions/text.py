@@ -136,6 +136,13 @@ def integers(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))
 
 
+def number_atoms(c: Column) -> Column:
+    """All numbers in order in one form (a multiset): a comma is a decimal point, zeros that don't count go."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+(?:[.,][0-9]+)?"), F.lit(0))
+    dotted = F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit(".")), "^0+(?=[0-9])", ""))
+    return F.transform(dotted, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, "0+$", ""), "\\.$", "")).otherwise(x))
+
+
 def dates(c: Column) -> Column:
     """Dates written day/month/year, in order."""
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"), F.lit(0))

@@ -11,7 +11,7 @@ from tamizal.operators.segments import next_boundary
 
 
 def article_texts(lines: DataFrame) -> DataFrame:
-    """source, article, page, seq, line_no of its heading, text, pages and lines of each article.
+    """source, article, page, seq, line_no of its heading, text, pages and lines of each article, and whole, its lines as they stand.
 
     lines: source, page, seq, line_no, line. An article goes on, also over pages,
     until the next heading. Lines look back for their heading inside their page
@@ -27,7 +27,7 @@ def article_texts(lines: DataFrame) -> DataFrame:
     owned = l.join(inherited, ["source", "page"]).withColumn("at", F.coalesce("own", "inherited")).where("at is not null")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "seq", "line_no", "line"))), lambda x: x["line"]), "\n")
     whole = owned.groupBy("source", "at").agg(text.alias("text"), F.countDistinct("page").alias("pages"), F.count("*").alias("lines"))
-    return whole.select("source", F.col("at.article").alias("article"), F.col("at.page").alias("page"), F.col("at.seq").alias("seq"), F.col("at.line_no").alias("line_no"), T.drop_trailing_artifact(T.cut_at_next_heading(F.col("text"))).alias("text"), "pages", "lines")
+    return whole.select("source", F.col("at.article").alias("article"), F.col("at.page").alias("page"), F.col("at.seq").alias("seq"), F.col("at.line_no").alias("line_no"), T.drop_trailing_artifact(T.cut_at_next_heading(F.col("text"))).alias("text"), F.col("text").alias("whole"), "pages", "lines")
 
 
 def date_cells(questions: DataFrame, rows: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -90,3 +90,27 @@ def seeded_order(df: DataFrame, by: tuple[str, ...], keys: tuple[str, ...], seed
     """df with place: a shuffle within by that only seed and keys decide; ranges of the order are numbered in many tasks."""
     order = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)))
     return running(df.withColumns({"order_": order, "one_": F.lit(1)}), by, ("order_", *keys), "one_").withColumnRenamed("upto", "place").drop("order_", "one_")
+
+
+def event_date(dates: Column, asked: Column) -> Column:
+    """The one date of a schedule item, or the one a question in normal form asks for: the last or the first; null where several remain."""
+    return F.when(F.size(dates) == 1, F.element_at(dates, 1)).when((F.size(dates) > 1) & asked.rlike(r"\b(ultimo|hasta|finaliza|cierra|cierre)\b"), F.element_at(dates, -1)).when((F.size(dates) > 1) & asked.rlike(r"\b(primer|desde|inicia|abren|empieza)\b"), F.element_at(dates, 1))
+
+
+def topic_sections(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, row and text of the questions whose quoted topic is the heading of exactly one row (row, heading, text)."""
+    q = questions.select("key", T.norm(T.quoted_topic(F.col("query"))).alias("topic")).where("topic <> ''")
+    hit = q.join(rows.select("row", T.norm(F.col("heading")).alias("topic"), "text"), "topic")
+    return hit.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("row", "text")).alias("r")).where("n = 1").select("key", "r.row", "r.text")
+
+
+# fixed values: the categories whose resolvers are tried after the routed one's
+CATEGORY_ORDER = ("CRONOGRAMA", "VACANTES", "TEMARIO", "REGLAMENTO")
+
+
+def dispatch(questions: DataFrame, answers: DataFrame, key: str = "key", routed: str = "category") -> DataFrame:
+    """key, category and answer: of each question's answers (key, category, answer) that of its routed category, else that of the first in order."""
+    order = F.array_position(F.array(*(F.lit(c) for c in CATEGORY_ORDER)), F.col("category"))
+    both = questions.select(key, F.col(routed).alias("routed")).join(answers.select(key, "category", "answer"), key).where(order > 0)
+    turn = F.when(F.col("category").eqNullSafe(F.col("routed")), 0).otherwise(order)
+    return both.groupBy(key).agg(F.min_by(F.struct("category", "answer"), F.struct(turn, "answer")).alias("x")).select(key, "x.category", "x.answer")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def char_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
     """Letter sequences of the normal form, words bounded by spaces."""
     padded = F.concat(F.lit(" "), T.norm(c), F.lit(" "))
     grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(low, high + 1)]
-    return F.array_distinct(F.concat(*grams))
+    return F.concat(*grams)
 
 
 def features(df: DataFrame, text: str, chars: bool = False) -> DataFrame:
@@ -40,10 +42,22 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFra
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % k)
 
 
+class Sublinear(Transformer):
+    """Counts n of a sparse vector as 1 + log(n)."""
+
+    def __init__(self, source: str = "tf", target: str = "damped") -> None:
+        super().__init__()
+        self.source, self.target = source, target
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damp = F.udf(lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())  # Spark ML has no such stage
+        return dataset.withColumn(self.target, damp(self.source))
+
+
 def classifier(kind: str, label: str = "label", buckets: int = 1 << 16, rounds: int = 60) -> Pipeline:
-    """TF-IDF with sublinear counts over hashed terms, then svm, bayes or logistic."""
+    """TF-IDF with sublinear counts and unit length over hashed terms, then svm, bayes or logistic."""
     models = {"svm": OneVsRest(classifier=LinearSVC(regParam=1e-3, maxIter=rounds), labelCol="y"), "bayes": NaiveBayes(modelType="multinomial", smoothing=0.1, labelCol="y"), "logistic": LogisticRegression(regParam=1e-3, maxIter=rounds, family="multinomial", labelCol="y")}
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=buckets), IDF(inputCol="tf", outputCol="features"), models[kind]])
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=buckets), Sublinear(), IDF(inputCol="damped", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features", p=2.0), models[kind]])
 
 
 def labels_of(model: PipelineModel) -> list[str]:

@@ -173,3 +173,66 @@ def in_batches(df: DataFrame, provider, schema: str) -> DataFrame:
             yield call(pdf)
 
     return df.mapInPandas(run, schema)
+
+
+def table_like_rows(df: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
+    """key, line_no, first_line and cells of the lines in table_like_groups: what stands between tabs or double spaces."""
+    l = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))  # noqa: E741
+    cut = l.withColumn("line", T.strip(F.col("line"))).where((F.col("line") != "") & F.col("line").rlike("\t|\\s{2,}"))
+    w = Window.partitionBy(key).orderBy("at")
+    island = cut.withColumn("island", F.col("at") - F.row_number().over(w))
+    group = Window.partitionBy(key, "island")
+    sized = island.withColumns({"lines": F.count("*").over(group), "first_line": F.min("at").over(group) + 1}).where(F.col("lines") >= least)
+    return sized.select(key, (F.col("at") + 1).alias("line_no"), "first_line", F.split("line", "\\t|\\s{2,}").alias("cells"))
+
+
+def ruled_tables(rows: DataFrame, keys: tuple[str, ...], values: str, least_rows: int = 2, least_columns: int = 2) -> DataFrame:
+    """keys, rows and columns of the tables with enough rows that hold anything and enough columns; white space in cells is collapsed."""
+    clean = F.transform(values, lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "(?U)\\s+", " ")))
+    r = rows.select(*keys, clean.alias("v")).where(F.exists("v", lambda x: x != ""))
+    return r.groupBy(*keys).agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("columns")).where((F.col("rows") >= least_rows) & (F.col("columns") >= least_columns))
+
+
+def parent_headers(headers: DataFrame, parents: DataFrame) -> DataFrame:
+    """tbl, col and label: headers (tbl, col, x0, x1, text) under a parent (tbl, x0, x1, text) whose middle lies within it become `parent / header`.
+
+    Where a parent stands over several `Fase` headers without a numeral of their own, they are numbered from the left.
+    """
+    h, p = headers.alias("h"), parents.select("tbl", F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("text").alias("parent"))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    both = h.join(p, "tbl", "left").withColumn("inside", (middle >= F.col("p0")) & (middle < F.col("p1")))
+    one = both.groupBy("tbl", "col", "x0", "text").agg(F.min(F.when(F.col("inside"), F.col("parent"))).alias("parent"))
+    phase = F.lower("text").startswith("fase")
+    bare = phase & ~F.trim(F.regexp_replace("text", "(?i)^fase\\s*", "")).rlike("(?i)^(?:I{1,3}|IV|V|[1-9])$")
+    group = Window.partitionBy("tbl", "parent")
+    numbered = one.withColumns({"phases": F.sum(phase.cast("int")).over(group), "at": F.sum(phase.cast("int")).over(group.orderBy("x0").rowsBetween(Window.unboundedPreceding, 0))})
+    numeral = F.element_at(F.array(*(F.lit(x) for x in ("I", "II", "III", "IV"))), F.least(F.col("at"), F.lit(4)).cast("int"))
+    text = F.when(bare & F.col("parent").isNotNull() & (F.col("phases") > 1), F.concat(F.lit("Fase "), numeral)).otherwise(F.col("text"))
+    return numbered.select("tbl", "col", F.concat_ws(" / ", "parent", text).alias("label"))
+
+
+def table_passages(rows: DataFrame, keys: tuple[str, ...], category: Column, exam: Column, headers: str, cells: str, least: int = 20) -> DataFrame:
+    """keys and passage: `CATEGORY | exam | label: value; …` of each row, if it is long enough; a first cell without label is an Item, others are Dato n."""
+    body = F.regexp_replace(serialize_row(F.lit(""), F.col(headers), F.col(cells), "; "), "^: ", "")
+    return rows.where(F.size(cells) > 0).select(*keys, F.concat_ws(" | ", category, exam, body).alias("passage")).where(F.length("passage") >= least)
+
+
+def clause_depths(text: Column) -> Column:
+    """The clauses of a text with their depth: the dots inside a numbered mark, one more for a letter's."""
+    return F.transform(clauses(text), lambda c: F.struct(F.when(c.rlike("^[a-z]\\)"), 1).otherwise(F.length(F.regexp_replace(F.regexp_extract(c, "^([0-9.]+)", 1), "[^.]|\\.$", ""))).alias("depth"), c.alias("clause")))
+
+
+def line_candidates(lines: DataFrame, by: tuple[str, ...], order: str, line: str, heading: Column, item: Column) -> DataFrame:
+    """by, order, the last heading before each item line (carried forward within by), and the line; items before any heading are left out."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = lines.withColumn("heading", F.last(F.when(heading, F.col(line)), ignorenulls=True).over(w))
+    return carried.where(item & ~heading & F.col("heading").isNotNull()).select(*by, order, "heading", F.col(line).alias("item"))
+
+
+def article_candidates(lines: DataFrame, keys: tuple[str, ...], line: str) -> DataFrame:
+    """keys, article, query and answer: a question for each line that opens with an article's heading and says something acceptable after it."""
+    number = F.regexp_extract(line, T.ARTICLE_START, 1)
+    # spread from an array of one, so that the long expression is computed once and not put into those that read it
+    body = F.explode(F.array(T.article_body(F.regexp_replace(F.col(line), "\\r$", ""))))
+    found = lines.where(T.is_article_heading(F.col(line))).select(*keys, number.cast("int").alias("article"), body.alias("answer"))
+    return found.where(T.acceptable(F.col("answer"))).select(*keys, "article", F.concat(F.lit("¿Qué establece el artículo "), F.col("article").cast("string"), F.lit("?")).alias("query"), "answer")

@@ -111,25 +111,7 @@ def grand_totals(c: DataFrame, row: tuple[str, ...]) -> DataFrame:
     return both.withColumn("total", F.coalesce("written", F.when(F.col("label").isNotNull(), F.col("parts")))).withColumn("consistent", F.col("written") == F.col("parts"))
 
 
-def resolve(questions: DataFrame, c: DataFrame, entity: str = "entity", key: str = "id", query: str = "query") -> DataFrame:
-    """key, entity, label and number: the single cell that a question names, by its row and its header, else no row.
-
-    c: cells with their row's entity. A row is named if its normalized name stands in
-    the question; a name inside another named one gives way. Names are compared with the
-    question's runs of words by equality, never pairwise.
-    """
-    q = questions.select(F.col(key).alias("q_key"), T.phase_rewrite(T.norm(F.col(query))).alias("asked")).withColumn("stems", F.array_distinct(F.transform(F.split("asked", " "), lambda t: F.substring(t, 1, 6))))
-    words = F.split("asked", " ")
-    names = c.select(F.col(entity).alias("entity"), T.norm(F.col(entity)).alias("name")).distinct().where(F.length("name") > 3)
-    longest = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    named = q.select("q_key", "stems", F.explode(F.array_distinct(runs)).alias("name"))
-    hit = named.join(names, "name")
-    # several named rows, unless one name holds the others, leave the question open
-    most = hit.groupBy("q_key").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("longest"), F.collect_set("name").alias("all"))
-    sure = most.where(F.forall("all", lambda n: F.contains(F.col("longest"), n))).select("q_key", F.col("longest").alias("name"))
-    picked = hit.join(sure, ["q_key", "name"]).select("q_key", "stems", "entity").distinct()
-    quantity = c.where(F.col("number").isNotNull() & ~T.norm(F.col("label")).isin(*ROW_KEYS)).select(F.col(entity).alias("entity"), "label", "number").distinct()
-    scored = picked.join(quantity, "entity").withColumn("score", label_score(F.col("label"), F.col("stems"))).where("score is not null")
-    best = unique_cell(scored, ("q_key",))
-    return best.join(picked.groupBy("q_key").agg(F.min("entity").alias("entity")), "q_key").select(F.col("q_key").alias(key), "entity", "label", "number")
+def merged_tables(c: DataFrame, source: str, table: str, row: tuple[str, ...]) -> DataFrame:
+    """source, entity_label and rows: the tables of a source whose rows are named by the same column count as one."""
+    named = entity_labels(c, (source, table), row)
+    return c.select(source, table, *row).distinct().join(named, [source, table]).groupBy(source, "entity_label").agg(F.count("*").alias("rows"), F.countDistinct(table).alias("tables"))

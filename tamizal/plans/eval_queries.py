@@ -21,7 +21,7 @@ def _runs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     bank = table(spark, folder, "question_bank").select("id", "category", "type", "must", "abstain")
-    r = _runs(spark, folder, "answer").join(F.broadcast(bank), "id")  # the bank is a fixed table of 480 rows
+    r = _runs(spark, folder, "answer").join(bank, "id")
     return r.select(*_KEY, "category", "type", "abstain", P.outcome(F.col("must"), F.col("abstain"), F.col("type"), F.col("answer")).alias("outcome"))
 
 
@@ -52,7 +52,7 @@ def router_scores(spark: SparkSession, folder: str) -> DataFrame:
 def router_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy of the logged router by who decided (rule or model) and over all, before and after the evidence override."""
     bank = table(spark, folder, "question_bank").select("id", "category")
-    r = _runs(spark, folder, "router", "pred_category", "ood_override").join(F.broadcast(bank), "id")
+    r = _runs(spark, folder, "router", "pred_category", "ood_override").join(bank, "id")
     by_rule = F.coalesce(F.col("router").startswith("rule:"), F.lit(False))
     after = P.reversed_verdict(F.col("pred_category"), F.col("ood_override.category"), F.col("ood_override.best_score"), by_rule)
     right = lambda c: F.sum(F.coalesce((c == F.col("category")).cast("int"), F.lit(0)))
@@ -135,10 +135,12 @@ def stage_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multiset_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each bank answer's integers, how many the first answers of V4d repeat."""
+    """Of each bank answer's integers, how many the first answer of each system repeats."""
     bank = table(spark, folder, "question_bank").where("gold is not null").select("id", F.explode(T.integers(F.col("gold"))).alias("n"))
-    first = _runs(spark, folder, "answer").where("system = 'V4d'").groupBy("id").agg(F.min_by("answer", "attempt").alias("answer"))
-    return E.multiset_overlap(bank, first.select("id", F.explode(T.integers(F.col("answer"))).alias("n")), "id", "n")
+    first = _runs(spark, folder, "answer").groupBy("id", "system").agg(F.min_by("answer", "attempt").alias("answer"))
+    key = F.concat_ws("|", "id", "system").alias("run")
+    wanted = bank.join(first.select("id", "system"), "id").select(key, "n")
+    return E.multiset_overlap(wanted, first.select(key, F.explode(T.integers(F.col("answer"))).alias("n")), "run", "n")
 
 
 def number_support(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +159,7 @@ def set_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def retrieval_recall(spark: SparkSession, folder: str) -> DataFrame:
     """By system, runs whose contexts hold all that the question demands, and the contexts' characters."""
     bank = table(spark, folder, "question_bank").where("not abstain and size(must) > 0").select("id", "must")
-    r = _runs(spark, folder, "contexts").join(F.broadcast(bank), "id").select("system", "must", T.fold(F.array_join("contexts", " ")).alias("context"))
+    r = _runs(spark, folder, "contexts").join(bank, "id").select("system", "must", T.fold(F.array_join("contexts", " ")).alias("context"))
     hit = F.forall("must", lambda p: F.rlike(F.col("context"), p))
     return r.groupBy("system").agg(F.count("*").alias("runs"), F.sum(hit.cast("int")).alias("recalled"), F.sum(F.length("context")).alias("characters"))
 
@@ -191,10 +193,11 @@ def leakage_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions that one system ran and another did not, both ways."""
+    """Questions that a system ran and another did not, for every two systems."""
     r = table(spark, folder, "runs").select("id", "system").distinct()
-    a, b = (r.where(F.col("system") == s).select("id") for s in ("V1", "V4d"))
-    return a.exceptAll(b).withColumn("only", F.lit("V1")).unionByName(b.exceptAll(a).withColumn("only", F.lit("V4d")))
+    others = r.select(F.col("system").alias("other")).distinct()
+    every = r.crossJoin(F.broadcast(others)).where("system <> other")  # a few systems
+    return every.join(r.withColumnRenamed("system", "other"), ["id", "other"], "left_anti").select("id", "system", "other")
 
 
 def dedup_keep_first(spark: SparkSession, folder: str) -> DataFrame:
@@ -358,10 +361,10 @@ ORACLES = {
         FROM (SELECT phase, elapsed_s AS v FROM {_RUN} WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s)) GROUP BY phase""",
     "stage_share": """WITH e AS (SELECT hour(ts) AS hour, event_type, round(value, 4)::DECIMAL(20,4) AS value FROM events), g AS (SELECT hour, event_type, count(*) AS n, sum(value) AS total FROM e GROUP BY GROUPING SETS ((hour, event_type), (event_type)))
         SELECT hour, event_type, n, round(total::DOUBLE, 4) AS total, round(total::DOUBLE / sum(total) OVER (PARTITION BY hour)::DOUBLE, 6) AS share FROM g""",
-    "multiset_overlap": f"""WITH e AS (SELECT id, n, count(*) AS e FROM (SELECT id, {_INTS.format(x='gold')} AS n FROM question_bank WHERE gold IS NOT NULL) GROUP BY ALL),
-        a AS (SELECT id, arg_min(answer, attempt) AS answer FROM {_RUN} WHERE system = 'V4d' AND answer IS NOT NULL GROUP BY id),
-        f AS (SELECT id, n, count(*) AS f FROM (SELECT id, {_INTS.format(x='answer')} AS n FROM a) GROUP BY ALL)
-        SELECT id, sum(e) AS expected, sum(least(e, coalesce(f, 0))) AS matched, round(sum(least(e, coalesce(f, 0))) / sum(e), 6) AS share FROM e LEFT JOIN f USING (id, n) GROUP BY id""",
+    "multiset_overlap": f"""WITH a AS (SELECT id, system, arg_min(coalesce(answer, ''), attempt) AS answer FROM {_RUN} GROUP BY id, system),
+        e AS (SELECT id || '|' || system AS run, n, count(*) AS e FROM (SELECT id, {_INTS.format(x='gold')} AS n FROM question_bank WHERE gold IS NOT NULL) JOIN a USING (id) GROUP BY ALL),
+        f AS (SELECT run, n, count(*) AS f FROM (SELECT id || '|' || system AS run, {_INTS.format(x='answer')} AS n FROM a) GROUP BY ALL)
+        SELECT run, sum(e) AS expected, sum(least(e, coalesce(f, 0))) AS matched, round(sum(least(e, coalesce(f, 0))) / sum(e), 6) AS share FROM e LEFT JOIN f USING (run, n) GROUP BY run""",
     "number_support": f"""SELECT system, count(*) AS runs, sum((len(list_filter({S.number_tokens('answer')}, lambda n: NOT list_contains(allowed, n))) = 0)::INT) AS supported
         FROM (SELECT system, answer, list_concat({S.number_tokens("array_to_string(contexts, ' ')")}, {S.number_tokens('query')}) AS allowed FROM {_RUN} WHERE answer IS NOT NULL) GROUP BY system""",
     "set_coverage": f"SELECT id, round(len(list_intersect(a, b)) / len(a), 6) AS coverage FROM (SELECT id, list_distinct({S.tokens('query')}) AS a, list_distinct({S.tokens('ground_truth')}) AS b FROM queries WHERE ground_truth IS NOT NULL) WHERE len(a) > 0",
@@ -372,8 +375,8 @@ ORACLES = {
     "run_counts": f"SELECT system, phase, count(*) AS runs, count(pred_category) AS labelled FROM {_RUN} GROUP BY ROLLUP (system, phase)",
     "promotion_gate": 'SELECT count(*) AS "rows", count(*) FILTER (categoria_correcta IS NULL) AS no_categoria_correcta, count(*) FILTER (parafrasis IS NULL) AS no_parafrasis, count(*) FILTER (ground_truth IS NULL) AS no_ground_truth, count(query) - count(DISTINCT query) AS repeated FROM queries',
     "leakage_overlap": f"SELECT {S.norm('query')} AS norm FROM question_bank INTERSECT SELECT {S.norm('query')} FROM runs",
-    "query_sets": """WITH r AS (SELECT DISTINCT id, system FROM runs) SELECT id, 'V1' AS only FROM r WHERE system = 'V1' AND id NOT IN (SELECT id FROM r WHERE system = 'V4d')
-        UNION ALL SELECT id, 'V4d' FROM r WHERE system = 'V4d' AND id NOT IN (SELECT id FROM r WHERE system = 'V1')""",
+    "query_sets": """WITH r AS (SELECT DISTINCT id, system FROM runs) SELECT r.id, r.system, o.system AS other FROM r, (SELECT DISTINCT system FROM runs) o
+        WHERE o.system <> r.system AND NOT EXISTS (SELECT 1 FROM r x WHERE x.id = r.id AND x.system = o.system)""",
     "dedup_keep_first": "SELECT categoria_correcta, lower(query) AS asked, lower(ground_truth) AS truth, min(id) AS id, count(*) AS copies FROM queries GROUP BY ALL",
     "stratified_sample": """SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, 'first' AS how FROM documents QUALIFY rank <= 3
         UNION ALL SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS rank, 'seeded' FROM documents QUALIFY rank <= 3""",

@@ -53,13 +53,16 @@ def column_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Difference of two programmes in each source and column that has both."""
-    return B.compare(_readings(spark, folder), ("source", "label"), "entity", F.lit("Medicina Humana"), F.lit("Contabilidad"))
+    """Difference of the first and the last programme in name order, in each source and column."""
+    r = _readings(spark, folder)
+    ends = r.groupBy("source", "label").agg(F.min("entity").alias("first_entity"), F.max("entity").alias("last_entity")).where("first_entity <> last_entity")
+    r = r.join(ends, ["source", "label"])
+    return B.compare(r, ("source", "label"), "entity", F.col("first_entity"), F.col("last_entity"))
 
 
 def reverse_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Programmes with exactly 50, by source and column."""
-    return B.reverse_lookup(_readings(spark, folder), ("source", "label"), "entity", F.lit(50))
+    """Programmes with exactly each number, by source and column."""
+    return B.reverse_lookup(_readings(spark, folder), ("source", "label"), "entity", F.col("number"))
 
 
 def group_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,12 +70,6 @@ def group_totals(spark: SparkSession, folder: str) -> DataFrame:
     return B.group_totals(_cells(spark, folder), ("id", "line_no"))
 
 
-def resolved_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Bank questions that name one row and one column of a source's tables: the cell."""
-    q = table(spark, folder, "question_bank").where("category = 'VACANTES'")
-    return B.resolve(q, _cells(spark, folder))
-
-
 def _asked_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _cells(spark, folder).select(F.col("source").alias("tbl"), F.struct("id", "line_no").alias("row"), "place", "entity", "label", "number", "value")
 
@@ -190,7 +187,7 @@ def tpch_group_share(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_infer, table_cell, column_superlative, column_sum, column_comparison, reverse_lookup, group_totals, resolved_questions, candidate_questions, column_questions, aggregate_questions, table_answers, schedule_days, chunk_200_20, line_filter_bars, furniture_repeat3,
+        entity_infer, table_cell, column_superlative, column_sum, column_comparison, reverse_lookup, group_totals, candidate_questions, column_questions, aggregate_questions, table_answers, schedule_days, chunk_200_20, line_filter_bars, furniture_repeat3,
         table_like_islands, page_regroup, serialize_rows, syllabus_headings, clause_counts, section_ends, rare_acronyms, document_scores, tpch_group_share,
     )
 }
@@ -317,8 +314,9 @@ ORACLES = {
     "table_cell": f"WITH {_CELLS} SELECT * FROM reading",
     "column_superlative": f"WITH {_CELLS} SELECT source, entity, label, number FROM reading QUALIFY number = max(number) OVER (PARTITION BY source, label)",
     "column_sum": f'WITH {_CELLS} SELECT source, label, count(*) AS "rows", sum(number) AS total FROM reading WHERE number > 0 GROUP BY ALL',
-    "column_comparison": f"WITH {_CELLS} SELECT a.source, a.label, a.number AS first, b.number AS second, abs(a.number - b.number) AS difference FROM reading a JOIN reading b ON b.source = a.source AND b.label = a.label WHERE a.entity = 'Medicina Humana' AND b.entity = 'Contabilidad'",
-    "reverse_lookup": f'WITH {_CELLS} SELECT source, label, number, count(*) AS "rows", min(entity) AS first_entity, max(entity) AS last_entity FROM reading WHERE number = 50 GROUP BY ALL',
+    "column_comparison": f"""WITH {_CELLS}, e AS (SELECT source, label, min(entity) AS x, max(entity) AS y FROM reading GROUP BY ALL HAVING min(entity) <> max(entity))
+        SELECT a.source, a.label, a.number AS first, b.number AS second, abs(a.number - b.number) AS difference FROM e JOIN reading a ON a.source = e.source AND a.label = e.label AND a.entity = x JOIN reading b ON b.source = e.source AND b.label = e.label AND b.entity = y""",
+    "reverse_lookup": f'WITH {_CELLS} SELECT source, label, number, count(*) AS "rows", min(entity) AS first_entity, max(entity) AS last_entity FROM reading GROUP BY source, label, number',
     "group_totals": f"""WITH {_CELLS}, n AS (SELECT *, list_contains(string_split({S.norm('item')}, ' '), 'total') AS own FROM c WHERE grp <> '' AND number IS NOT NULL)
         SELECT id, line_no, grp, coalesce(arg_min(number, place) FILTER (own), sum(number)) AS total, max(own::INT) AS has_total, count(*) AS columns FROM n GROUP BY ALL""",
     "schedule_days": "SELECT o_custkey, datediff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY o_custkey HAVING count(*) = 2",

@@ -106,6 +106,14 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str,
     return unique(left, suffixes[0]).join(unique(right, suffixes[1]), key)
 
 
-def norm_key(c: Column) -> Column:
-    """The key under which sources are regrouped."""
-    return T.norm(c)
+def intake_status(accepted: DataFrame, ocr_pages: str = "ocr_pages", consent: str = "consent") -> DataFrame:
+    """accepted uploads with status: those with pages to be recognized wait for consent or are recognized, the others are processed."""
+    needs = F.coalesce(F.col(ocr_pages), F.lit(0)) > 0
+    return accepted.withColumn("status", F.when(needs & ~F.coalesce(F.col(consent), F.lit(False)), "awaiting_ocr_consent").when(needs, "processing_ocr").otherwise("processing"))
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, equal: str) -> DataFrame:
+    """Rows of two runs with one key, columns suffixed _a and _b; fails where the column equal differs."""
+    both = one_to_one(a, b, key)
+    same = F.col(f"{equal}_a").eqNullSafe(F.col(f"{equal}_b"))
+    return both.withColumn(f"{equal}_a", F.when(same, F.col(f"{equal}_a")).otherwise(F.raise_error(F.concat(F.lit(f"{equal} differs for "), F.col(key).cast("string"))).cast(dict(both.dtypes)[f"{equal}_a"])))

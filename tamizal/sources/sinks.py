@@ -28,11 +28,11 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf)
-    write_bytes(spark, f"{path}/_next-{version}", version.encode())
+    write_bytes(spark, f"{path}/next-{version}", version.encode())
     overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = overwrite
-    context.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current"), how)
+    context.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/next-{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT"), how)
     _, fs = _fs(spark, path)
     for status in fs.listStatus(root):
         name = status.getPath().getName()
@@ -49,8 +49,8 @@ def read_replaced(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _version(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, f"{path}/_current")
-    return read_bytes(spark, f"{path}/_current").decode() if fs.exists(p) else None
+    p, fs = _fs(spark, f"{path}/CURRENT")
+    return read_bytes(spark, f"{path}/CURRENT").decode() if fs.exists(p) else None
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
@@ -76,6 +76,27 @@ def write_index(segments: DataFrame, folder: str, mode: str = "errorifexists") -
     segments.repartition("category").write.mode(mode).partitionBy("category").parquet(f"{folder}/segments")
 
 
+def write_search_index(index: tuple[DataFrame, DataFrame], vectors: DataFrame, folder: str) -> None:
+    """The tables of a search index: tokens of texts and weights of terms by part, and vectors; refuses an existing folder."""
+    texts, terms = index
+    texts.write.partitionBy("part").parquet(f"{folder}/texts")
+    terms.write.partitionBy("part").parquet(f"{folder}/terms")
+    vectors.write.parquet(f"{folder}/vectors")
+
+
+def rebuilt_states(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """documents (id, status) with the status after a rebuild: a ready document without a readable segment (document_id, text) is in error, the rebuild goes on."""
+    readable = segments.where("trim(text) <> ''").select(F.col("document_id").alias("id"), F.lit(1).alias("readable")).distinct()
+    return documents.join(readable, "id", "left").withColumn("status", F.when((F.col("status") == "ready") & F.col("readable").isNull(), "error").otherwise(F.col("status"))).drop("readable")
+
+
+def invalid_workspaces(workspaces: DataFrame) -> DataFrame:
+    """id and reason of workspaces (id, name, description) that aren't well formed: id of 32 hexadecimal digits, name of 1 to 120 characters, description of 1 to 800."""
+    size = lambda c, most: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))).between(1, most)
+    reason = F.when(~F.coalesce(F.col("id").rlike("^[0-9a-f]{32}$"), F.lit(False)), "id").when(~size("name", 120), "name").when(~size("description", 800), "description")
+    return workspaces.select("id", reason.alias("reason")).where("reason is not null")
+
+
 def rebuild_tenants(segments: DataFrame, folder: str) -> None:
     """Replace the partitions of the workspaces present in segments and leave all others."""
     segments.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(folder)

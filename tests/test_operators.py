@@ -10,6 +10,7 @@ from tamizal.operators import evalstats as E
 from tamizal.operators import pipeline as L
 from tamizal.operators import retrieval as R
 from tamizal.operators import segments as G
+from tamizal.operators import table_language as Q
 from tamizal.operators import tables as B
 from tamizal.sources import readers, sinks
 
@@ -38,7 +39,9 @@ def test_grand_totals(grid):
 
 def test_resolve_needs_one_reading(spark, grid):
     q = spark.createDataFrame([("a", "cuántas de sede G en Danza Andina"), ("b", "cuántas plazas en Danza Andina"), ("c", "sede G de Arte Nuevo y Danza"), ("d", "sede de Arte Nuevo")], "id string, query string")
-    assert rows(B.resolve(q, grid.where("label <> 'Total'"))) == [("a", "Danza Andina", "G / sede", 2)]
+    cells = grid.where("label <> 'Total'").selectExpr("'t' AS tbl", "line AS row", "place", "entity", "label", "number", "value")
+    got = Q.column_readings(Q.Asked(q, cells, "id", "query", False)).where("kind = 'column_cell'")
+    assert rows(got.select("k", "subject", "label", "number")) == [("a", "Danza Andina", "G / sede", 2)]
 
 
 def test_label_score(spark):
@@ -182,7 +185,7 @@ def test_readers_and_writers(spark, tmp_path):
     target = str(tmp_path / "t")
     sinks.replace_atomically(spark.range(3), target)
     sinks.replace_atomically(spark.range(5), target)
-    assert spark.read.parquet(target).count() == 5
+    assert sinks.read_replaced(spark, target).count() == 5
     done = str(tmp_path / "done")
     assert sinks.append_pending(spark.range(4), done, ["id"], lambda d: d) == 4
     assert sinks.append_pending(spark.range(6), done, ["id"], lambda d: d) == 2
