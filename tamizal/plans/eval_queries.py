@@ -346,7 +346,8 @@ ORACLES = {
         pe AS (SELECT sum(x * y) AS xy FROM (SELECT a AS l, count(*) AS x FROM r GROUP BY a) JOIN (SELECT b AS l, count(*) AS y FROM r GROUP BY b) USING (l)),
         s AS (SELECT count(*) AS n, avg((a = b)::INT) AS po, any_value(xy) / (count(*) * count(*)) AS pe FROM r, pe)
         SELECT n, round(po, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM s""",
-    "wilcoxon_ranks": f"""WITH t AS (SELECT id, system, round(min(elapsed_s), 3) AS s FROM {_RUN} WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s) GROUP BY ALL),
+    "wilcoxon_ranks": f"""WITH RECURSIVE dist(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range(0, len(c) + n + 1), lambda i: coalesce(c[i + 1], 0) + CASE WHEN i > n THEN coalesce(c[i - n], 0) ELSE 0 END) FROM dist WHERE n < 50),
+        t AS (SELECT id, system, round(min(elapsed_s), 3) AS s FROM {_RUN} WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s) GROUP BY ALL),
         d AS (SELECT t.system, round(t.s - b.s, 3) AS x FROM t JOIN t b ON b.id = t.id AND b.system = 'V1' WHERE t.system <> 'V1'),
         r AS (SELECT *, rank() OVER (PARTITION BY system ORDER BY abs(x)) + (count(*) OVER (PARTITION BY system, abs(x)) - 1) / 2 AS rk FROM d WHERE x <> 0),
         s AS (SELECT system, count(*) AS n, sum(CASE WHEN x > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN x < 0 THEN rk ELSE 0 END) AS w_minus FROM r GROUP BY system),
@@ -354,7 +355,7 @@ ORACLES = {
         tie AS (SELECT system, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT system, abs(x) AS a, count(*)::DOUBLE AS c FROM d WHERE x <> 0 GROUP BY ALL) GROUP BY system),
         x_ AS (SELECT system, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM z JOIN tie USING (system)),
         -- the complementary error function as an integral over 20,000 steps
-        tail AS (SELECT system, round(least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000), 6) AS p FROM x_)
+        tail AS (SELECT system, round(CASE WHEN z.n <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(dist.c[1:floor(w)::INT + 1]) / pow(2, z.n)) ELSE least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000) END, 6) AS p FROM x_ JOIN z USING (system) JOIN tie USING (system) LEFT JOIN dist ON dist.n = z.n)
         SELECT system, n, w_plus, w_minus, w, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(z, 6) AS z, round(abs(z) / sqrt(n), 6) AS effect_r, p FROM z JOIN tail USING (system)""",
     "latency_percentiles": f"""SELECT phase, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, min(v) AS least, max(v) AS most, round(quantile_cont(v, 0.5), 6) AS median,
         quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, list_sort(list(v))[count(v) // 2 + 1] AS upper_median
