@@ -228,3 +228,16 @@ def ink_ratio(pixels: Column, dark: int = 230) -> Column:
         return pd.Series([None if x is None else float(np.mean(np.frombuffer(x, dtype=np.uint8) < dark)) if len(x) else 0.0 for x in column], dtype="float64")
 
     return share(pixels)
+
+
+def checked_label(label: Column, labels: Sequence[str]) -> Column:
+    """A model's label without blanks and in capitals if it is a known one; null for any other, which is an error and never outside the domain."""
+    bare = F.upper(F.trim(label))
+    return F.when(bare.isin(*labels), bare)
+
+
+def route(query: Column, model: Column, labels: Sequence[str]) -> Column:
+    """struct of category, router and error: by the rules where they decide, else the model's checked label."""
+    rule, known = rule_route(rule_text(query)), checked_label(model, labels)
+    by = F.when(rule.isNotNull(), F.concat(F.lit("rule:"), rule)).when(known.isNotNull(), F.lit("model"))
+    return F.struct(F.coalesce(rule, known).alias("category"), by.alias("router"), F.when(rule.isNull() & known.isNull(), F.concat(F.lit("invalid label "), F.coalesce(model, F.lit("null")))).alias("error"))

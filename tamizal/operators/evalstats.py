@@ -161,7 +161,7 @@ def wilcoxon(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
     spread = n * (n + 1) * (2 * n + 1) / 24
     z = (w - n * (n + 1) / 4) / F.sqrt(spread)
     p = F.when((F.col("n") <= 50) & (F.col("ties") == 0), _exact_p(F.col("n"), w)).otherwise(F.least(F.lit(1.0), 2 * normal_tail(F.abs(w - n * (n + 1) / 4) / F.sqrt(spread - F.col("ties") / 48))))
-    return s.select(*by, "n", "w_plus", "w_minus", w.alias("w"), F.round((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), 6).alias("rank_biserial"), F.round(z, 6).alias("z"), F.round(F.abs(z) / F.sqrt(n), 6).alias("effect_r"), F.round(p, 6).alias("p"))
+    return s.select(*by, "n", "w_plus", "w_minus", w.alias("w"), F.round((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), 6).alias("rank_biserial"), F.round(z, 6).alias("z"), F.round(F.abs(z) / F.sqrt(n), 6).alias("effect_r"), F.round(p, 4).alias("p"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -258,3 +258,28 @@ def override_simulation(df: DataFrame, truth: str, before: str, after: str) -> D
     right = lambda c: F.coalesce(F.col(c) == F.col(truth), F.lit(False))
     count = lambda c: F.sum(c.cast("int"))
     return df.groupBy(truth).agg(F.count("*").alias("rows"), count(right(before)).alias("right_before"), count(right(after)).alias("right_after"), count(~right(before) & right(after)).alias("mended"), count(right(before) & ~right(after)).alias("spoilt"))
+
+
+def with_defaults(wanted: DataFrame, found: DataFrame, keys: Sequence[str], defaults: dict[str, Column]) -> DataFrame:
+    """wanted with the columns of found by keys; where there is no row, or no value, the default stands."""
+    both = wanted.join(found.select(*keys, *defaults), list(keys), "left")
+    return both.select(*wanted.columns, *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
+
+
+def stage_profile(df: DataFrame, stage: str, value: str) -> DataFrame:
+    """By stage: runs, mean and population deviation of value, and its share of the sum of all stages."""
+    v = F.when(~F.isnan(value), F.col(value))
+    s = df.groupBy(stage).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.sum(v).alias("sum"))
+    whole = s.agg(F.sum("sum").alias("whole"))
+    return s.crossJoin(F.broadcast(whole)).select(stage, "n", "mean", "deviation", F.round(F.col("sum") / F.col("whole"), 6).alias("share"))  # of one row
+
+
+def promotable(df: DataFrame, needed: Sequence[str], unique: str, verified: Column | None = None) -> DataFrame:
+    """df itself, if no needed field is missing, unique has no value twice and all rows are verified; else reading it fails."""
+    missing = F.lit(False)
+    for c in needed:
+        missing = missing | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    twice = F.count("*").over(Window.partitionBy(unique)) > 1
+    reason = F.when(missing, "a field is missing").when(twice & F.col(unique).isNotNull(), "a value stands twice").when(~F.coalesce(verified, F.lit(False)) if verified is not None else F.lit(False), "a row isn't verified")
+    checked = df.withColumn("reason_", reason)
+    return checked.withColumn(unique, F.when(F.col("reason_").isNull(), F.col(unique)).otherwise(F.raise_error(F.concat(F.col("reason_"), F.lit(": "), F.coalesce(F.col(unique).cast("string"), F.lit("null")))).cast(dict(df.dtypes)[unique]))).drop("reason_")

@@ -236,3 +236,18 @@ def article_candidates(lines: DataFrame, keys: tuple[str, ...], line: str) -> Da
     body = F.explode(F.array(T.article_body(F.regexp_replace(F.col(line), "\\r$", ""))))
     found = lines.where(T.is_article_heading(F.col(line))).select(*keys, number.cast("int").alias("article"), body.alias("answer"))
     return found.where(T.acceptable(F.col("answer"))).select(*keys, "article", F.concat(F.lit("¿Qué establece el artículo "), F.col("article").cast("string"), F.lit("?")).alias("query"), "answer")
+
+
+def in_reading_order(tables: DataFrame, prose: DataFrame) -> DataFrame:
+    """page, place, kind and text of a page's tables and lines (each page, y, text), put together from top to bottom; a table stands before a line of the same height."""
+    both = tables.select("page", "y", F.lit("table").alias("kind"), "text").unionByName(prose.select("page", "y", F.lit("line").alias("kind"), "text"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("y", F.desc("kind"), "text"))).select("page", "place", "kind", "text")
+
+
+def page_segments(tables: DataFrame, prose: DataFrame, keys: tuple[str, ...], size: int = 200, overlap: int = 20) -> DataFrame:
+    """keys, kind, table_no, row_no, chunk_no and text: the rows of tables (keys, table_no, row_no, headers, cells) serialized, and the prose (keys, text) in chunks."""
+    row = serialize_row(F.concat(F.lit("Tabla "), "table_no", F.lit(" — fila "), "row_no"), F.col("headers"), F.col("cells"))
+    none = F.lit(None).cast("int")
+    a = tables.where(F.size("cells") > 0).select(*keys, F.lit("table_row").alias("kind"), "table_no", "row_no", none.alias("chunk_no"), row.alias("text"))
+    b = prose.select(*keys, F.posexplode(chunks(F.col("text"), size, overlap)).alias("chunk_no", "text")).select(*keys, F.lit("prose_chunk").alias("kind"), none.alias("table_no"), none.alias("row_no"), "chunk_no", "text")
+    return a.unionByName(b)

@@ -9,14 +9,16 @@ from tamizal.functions import predicates as P
 from tamizal.functions import text as T
 from tamizal.operators import articles as A
 from tamizal.operators import evalstats as E
+from tamizal.operators import retrieval as R
 from tamizal.operators import segments as G
 from tamizal.operators import tables as B
 from tamizal.plans import eval_queries as EQ
 from tamizal.plans import retrieval_queries as RQ
 from tamizal.plans import sql as S
 from tamizal.plans import table_queries as TQ
+from tamizal.session import standing
 from tamizal.sources import sinks as K
-from tamizal.sources.tables import lines, table, vacantes
+from tamizal.sources.tables import lines, spread, table, vacantes
 
 
 def answer_atoms(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,11 +126,27 @@ def invalid_workspaces(spark: SparkSession, folder: str) -> DataFrame:
     return K.invalid_workspaces(w)
 
 
+def page_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments made anew of vacantes: rows of cells serialized, prose in chunks; texts as digests."""
+    v = vacantes(spark, folder, "text", "table_no", "row_no", "cells", "headers")
+    s = G.page_segments(v, v.where("coalesce(size(cells), 0) <= 0"), ("id",))
+    return s.select("id", "kind", "table_no", "row_no", "chunk_no", F.md5("text").alias("md5"))
+
+
+def retrieve_all6(spark: SparkSession, folder: str) -> DataFrame:
+    """The three nearest documents of each category for every fiftieth query, and the six best of these."""
+    d = table(spark, folder, "documents").where("category is not null").select("doc_id", "category", "text")
+    (rows,) = standing(d, "category_vectors", lambda df: (spread(df).select(F.col("doc_id").alias("k"), "category", R.hashed_vector(F.col("text")).alias("v")),))
+    asked = table(spark, folder, "queries").where("id % 50 = 0 and query is not null").select((-F.col("id")).cast("bigint").alias("k"), R.hashed_vector(F.col("query")).alias("v"))
+    near = R.dense_top_k(rows, asked, k=3, key="k", vector="v", part="category", every=True).select((-F.col("query")).cast("int").alias("id"), "k", "score").join(rows.select("k", "category"), "k")
+    return R.merge_parts(near, "id", "category", "k", "score").select("id", F.col("k").alias("doc_id"), "category", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         answer_atoms, question_gates, fact_agreement, override_simulation, router_macro, complete_systems, page_differences, ruled_tables, table_like_cells, table_passages, merged_tables, article_candidates,
-        line_candidates, dispatched_answers, rebuilt_states, invalid_workspaces,
+        line_candidates, dispatched_answers, rebuilt_states, invalid_workspaces, page_segments, retrieve_all6,
     )
 }
 
@@ -180,4 +198,13 @@ ORACLES = {
     "rebuilt_states": f"SELECT id, CASE WHEN status = 'ready' AND id NOT IN (SELECT document_id FROM {_V} WHERE document_id IS NOT NULL AND trim(text, ' ') <> '') THEN 'error' ELSE status END AS status FROM workspace_documents",
     "invalid_workspaces": """SELECT id, reason FROM (SELECT workspace_id AS id, CASE WHEN NOT coalesce(regexp_full_match(workspace_id, '[0-9a-f]{32}'), false) THEN 'id' WHEN NOT length(trim(coalesce(min(filename), ''), ' ')) BETWEEN 1 AND 120 THEN 'name'
         WHEN NOT length(trim(coalesce(min(pdf_tool), ''), ' ')) BETWEEN 1 AND 800 THEN 'description' END AS reason FROM workspace_documents GROUP BY workspace_id) WHERE reason IS NOT NULL""",
+    "page_segments": f"""WITH v AS (SELECT DISTINCT id, text, table_no, row_no, cells, headers FROM vacantes), r AS (SELECT id, table_no, row_no, unnest(cells) AS c, unnest(range(len(cells))) AS i, headers FROM v WHERE len(cells) > 0),
+        p AS (SELECT id, table_no, row_no, i, c, CASE WHEN coalesce(trim(headers[i + 1], ' '), '') <> '' THEN headers[i + 1] WHEN i = 0 THEN 'Item' ELSE 'Dato ' || i END AS h FROM r WHERE coalesce(trim(c, ' '), '') <> ''),
+        w AS (SELECT id, list_filter(string_split(regexp_replace(text, '[\\s\\p{{Z}}\\x{{85}}\\x0b]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM v WHERE text IS NOT NULL AND coalesce(len(cells), 0) = 0),
+        c AS (SELECT id, list_filter(list_transform(range(0, len(w), 180), lambda i: array_to_string(w[i + 1:i + 200], ' ')), lambda x: length(x) > 20) AS cs FROM w)
+        SELECT id, 'table_row' AS kind, table_no, row_no, NULL::INT AS chunk_no, md5('Tabla ' || table_no || ' — fila ' || row_no || ': ' || string_agg(h || ': ' || c, ' | ' ORDER BY i)) AS md5 FROM p GROUP BY id, table_no, row_no
+        UNION ALL SELECT id, 'prose_chunk', NULL, NULL, chunk_no::INT, md5(chunk) FROM (SELECT id, unnest(cs) AS chunk, unnest(range(len(cs))) AS chunk_no FROM c)""",
+    "retrieve_all6": f"""WITH {RQ._hashed_sql(100_000_000, "(SELECT doc_id, category, text FROM documents WHERE category IS NOT NULL)")},
+        parts AS (SELECT d.id, d.doc_id, c.category, d.score FROM dense d JOIN documents c ON c.doc_id = d.doc_id QUALIFY row_number() OVER (PARTITION BY d.id, c.category ORDER BY d.score DESC, d.doc_id) <= 3)
+        SELECT id, doc_id, category, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM parts QUALIFY rank <= 6""",
 }

@@ -165,15 +165,33 @@ def retrieval_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """How many runs raise each combination of flags, in the order of the checks."""
-    r = _runs(spark, folder, "answer", "error", "pred_category", "elapsed_s", "contexts", "phase")
+    """How many runs raise each combination of flags, in the order of the nine checks."""
+    bank = table(spark, folder, "question_bank").select("id", T.norm(F.col("query")).alias("bank_query"))
+    r = table(spark, folder, "runs").groupBy(*_KEY).agg(F.min_by(F.struct("query", "answer", "error", "pred_category", "elapsed_s", "contexts", "phase", "started_utc", "logged_utc"), "logged_utc").alias("r")).select("id", "r.*").join(bank, "id", "left")
+    said = F.coalesce("answer", F.lit(""))
     flags = P.ordered_flags(
         ("error", F.col("error").isNotNull()), ("no_answer", F.coalesce(F.trim("answer") == "", F.lit(True))), ("no_category", F.col("pred_category").isNull()),
         ("bad_time", F.coalesce(F.isnan("elapsed_s") | (F.col("elapsed_s") < 0), F.lit(True))), ("no_context", F.coalesce(F.size("contexts") <= 0, F.lit(True)) & (F.col("phase") != "router_ood")),
+        ("abstains", P.abstains(said)), ("other_numbers", ~P.supported_numbers(said, F.array_join("contexts", " "), F.coalesce("query", F.lit("")))), ("other_query", ~T.norm(F.col("query")).eqNullSafe(F.col("bank_query"))),
+        ("logged_late", F.unix_micros("logged_utc") - F.unix_micros("started_utc") > 86_400_000_000),
     )
     return r.groupBy(F.array_join(flags, ",").alias("flags")).agg(F.count("*").alias("runs"))
 
 
+def missing_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """By system, bank questions with an answer, without one, and never asked: the questions joined with first attempts, a default where there is none."""
+    r = _runs(spark, folder, "answer")
+    systems = r.select("system").distinct()
+    wanted = table(spark, folder, "question_bank").select("id").crossJoin(F.broadcast(systems))  # a fixed table times a few names
+    first = r.groupBy("id", "system").agg(F.min_by(F.struct("answer"), "attempt")["answer"].alias("answer")).withColumn("state", F.when(F.coalesce(F.trim("answer") == "", F.lit(True)), "no_answer").otherwise("answered"))
+    return E.with_defaults(wanted, first, ("id", "system"), {"state": F.lit("not_asked")}).groupBy("system", "state").agg(F.count("*").alias("questions"))
+
+
+def phase_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and deviation of the seconds of each phase, and its share of all seconds."""
+    return E.stage_profile(_runs(spark, folder, "phase", "elapsed_s"), "phase", "elapsed_s")
+
+
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Runs by system, phase and predicted category, with all subtotals of the roll-up."""
     return _runs(spark, folder, "phase", "pred_category").rollup("system", "phase").agg(F.count("*").alias("runs"), F.count("pred_category").alias("labelled"))
@@ -261,7 +279,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_quality, router_rules, router_confusion, router_scores, router_slices, cache_compatible, abstentions, outcome_scoring, mcnemar_exact, holm_adjusted, bootstrap_ci, paired_bootstrap,
-        cohens_kappa, wilcoxon_ranks, latency_percentiles, stage_share, multiset_overlap, number_support, set_coverage, retrieval_recall, run_audit, run_counts, promotion_gate, leakage_overlap,
+        cohens_kappa, wilcoxon_ranks, latency_percentiles, stage_share, multiset_overlap, number_support, set_coverage, retrieval_recall, run_audit, missing_answers, phase_profile, run_counts, promotion_gate, leakage_overlap,
         query_sets, dedup_keep_first, stratified_sample, budget_cap, resume_anti, lww_upsert, sha_dedup, cache_stats, page_contiguity,
     )
 }
@@ -355,7 +373,7 @@ ORACLES = {
         tie AS (SELECT system, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT system, abs(x) AS a, count(*)::DOUBLE AS c FROM d WHERE x <> 0 GROUP BY ALL) GROUP BY system),
         x_ AS (SELECT system, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM z JOIN tie USING (system)),
         -- the complementary error function as an integral over 20,000 steps
-        tail AS (SELECT system, round(CASE WHEN z.n <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(dist.c[1:floor(w)::INT + 1]) / pow(2, z.n)) ELSE least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000) END, 6) AS p FROM x_ JOIN z USING (system) JOIN tie USING (system) LEFT JOIN dist ON dist.n = z.n)
+        tail AS (SELECT system, round(CASE WHEN z.n <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(dist.c[1:floor(w)::INT + 1]) / pow(2, z.n)) ELSE least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000) END, 4) AS p FROM x_ JOIN z USING (system) JOIN tie USING (system) LEFT JOIN dist ON dist.n = z.n)
         SELECT system, n, w_plus, w_minus, w, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(z, 6) AS z, round(abs(z) / sqrt(n), 6) AS effect_r, p FROM z JOIN tail USING (system)""",
     "latency_percentiles": f"""SELECT phase, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, min(v) AS least, max(v) AS most, round(quantile_cont(v, 0.5), 6) AS median,
         quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, list_sort(list(v))[count(v) // 2 + 1] AS upper_median
@@ -371,8 +389,18 @@ ORACLES = {
     "set_coverage": f"SELECT id, round(len(list_intersect(a, b)) / len(a), 6) AS coverage FROM (SELECT id, list_distinct({S.tokens('query')}) AS a, list_distinct({S.tokens('ground_truth')}) AS b FROM queries WHERE ground_truth IS NOT NULL) WHERE len(a) > 0",
     "retrieval_recall": f"""SELECT system, count(*) AS runs, sum((len(list_filter(must, lambda p: NOT regexp_matches(c, p))) = 0)::INT) AS recalled, sum(length(c)) AS characters
         FROM (SELECT r.system, b.must, {S.fold("array_to_string(r.contexts, ' ')")} AS c FROM {_RUN} r JOIN question_bank b ON b.id = r.id WHERE NOT b.abstain AND len(b.must) > 0) GROUP BY system""",
-    "run_audit": f"""SELECT flags, count(*) AS runs FROM (SELECT coalesce(nullif(concat_ws(',', CASE WHEN error IS NOT NULL THEN 'error' END, CASE WHEN coalesce(trim(answer, ' ') = '', true) THEN 'no_answer' END, CASE WHEN pred_category IS NULL THEN 'no_category' END,
-        CASE WHEN coalesce(isnan(elapsed_s) OR elapsed_s < 0, true) THEN 'bad_time' END, CASE WHEN coalesce(len(contexts), 0) = 0 AND phase <> 'router_ood' THEN 'no_context' END), ''), 'ok') AS flags FROM {_RUN}) GROUP BY flags""",
+    "run_audit": f"""WITH r AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id, system, attempt ORDER BY logged_utc) = 1)
+        SELECT flags, count(*) AS runs FROM (SELECT coalesce(nullif(concat_ws(',', CASE WHEN r.error IS NOT NULL THEN 'error' END, CASE WHEN coalesce(trim(answer, ' ') = '', true) THEN 'no_answer' END, CASE WHEN pred_category IS NULL THEN 'no_category' END,
+        CASE WHEN coalesce(isnan(elapsed_s) OR elapsed_s < 0, true) THEN 'bad_time' END, CASE WHEN coalesce(len(contexts), 0) = 0 AND phase <> 'router_ood' THEN 'no_context' END,
+        CASE WHEN regexp_matches({S.fold("coalesce(answer, '')")}, '{P.ABSTENTION}') THEN 'abstains' END,
+        CASE WHEN len(list_filter({S.number_tokens("coalesce(answer, '')")}, lambda n: NOT list_contains(list_concat({S.number_tokens("array_to_string(contexts, ' ')")}, {S.number_tokens("coalesce(r.query, '')")}), n))) > 0 THEN 'other_numbers' END,
+        CASE WHEN {S.norm('r.query')} IS DISTINCT FROM {S.norm('b.query')} THEN 'other_query' END, CASE WHEN epoch_us(logged_utc) - epoch_us(started_utc) > 86400000000 THEN 'logged_late' END), ''), 'ok') AS flags
+        FROM r LEFT JOIN question_bank b ON b.id = r.id) GROUP BY flags""",
+    "missing_answers": f"""WITH f AS (SELECT id, system, arg_min_null(answer, attempt) AS answer FROM {_RUN} GROUP BY id, system)
+        SELECT s.system, CASE WHEN f.id IS NULL THEN 'not_asked' WHEN coalesce(trim(answer, ' ') = '', true) THEN 'no_answer' ELSE 'answered' END AS state, count(*) AS questions
+        FROM question_bank b CROSS JOIN (SELECT DISTINCT system FROM runs) s LEFT JOIN f ON f.id = b.id AND f.system = s.system GROUP BY ALL""",
+    "phase_profile": f"""WITH v AS (SELECT phase, CASE WHEN NOT isnan(elapsed_s) THEN elapsed_s END AS x FROM {_RUN})
+        SELECT phase, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(sum(x) / (SELECT sum(x) FROM v), 6) AS share FROM v GROUP BY phase""",
     "run_counts": f"SELECT system, phase, count(*) AS runs, count(pred_category) AS labelled FROM {_RUN} GROUP BY ROLLUP (system, phase)",
     "promotion_gate": 'SELECT count(*) AS "rows", count(*) FILTER (categoria_correcta IS NULL) AS no_categoria_correcta, count(*) FILTER (parafrasis IS NULL) AS no_parafrasis, count(*) FILTER (ground_truth IS NULL) AS no_ground_truth, count(query) - count(DISTINCT query) AS repeated FROM queries',
     "leakage_overlap": f"SELECT {S.norm('query')} AS norm FROM question_bank INTERSECT SELECT {S.norm('query')} FROM runs",

@@ -152,3 +152,40 @@ def test_variants(spark):
     assert got["a"] == ("generated", "Historia ofrece 5 plazas.") and got["b"][0] == "router_ood" and got["c"] == ("cache_hit", "buenas") and got["d"][1].startswith("No encontré")
     assert {r["phase"] for r in L.run(q, L.stages(L.VARIANTS["V1"], sources)).collect()} == {"generated"}
     assert [s.phase for s in L.stages(L.VARIANTS["V4d"], sources)] == ["router_ood", "generated"] and set(L.TIMES) >= {"generated", "cache_hit"}
+
+
+def test_promotion_is_blocked(spark):
+    good = spark.createDataFrame([("a", "x", True), ("b", "y", True)], "query string, truth string, ok boolean")
+    assert E.promotable(good, ["truth"], "query", F.col("ok")).count() == 2
+    for bad, reason in (([("a", None, True)], "missing"), ([("a", "x", True), ("a", "y", True)], "twice"), ([("a", "x", None)], "verified")):
+        with pytest.raises(Exception, match=reason):
+            E.promotable(spark.createDataFrame(bad, good.schema), ["truth"], "query", F.col("ok")).collect()
+
+
+def test_route(spark):
+    df = spark.createDataFrame([("¿qué temas entran?", "VACANTES"), ("algo", " temario "), ("algo", "no sé"), ("¿va a llover?", None)], "q string, m string")
+    got = [tuple(r["r"]) for r in df.select(P.route(F.col("q"), F.col("m"), ["TEMARIO", "VACANTES"]).alias("r")).collect()]
+    assert got == [("TEMARIO", "rule:TEMARIO", None), ("TEMARIO", "model", None), (None, None, "invalid label no sé"), ("FUERA_DE_DOMINIO", "rule:FUERA_DE_DOMINIO", None)]
+
+
+def test_reading_order(spark):
+    t = spark.createDataFrame([(1, 0.5, "T")], "page int, y double, text string")
+    p = spark.createDataFrame([(1, 0.9, "z"), (1, 0.1, "a"), (1, 0.5, "m"), (2, 0.3, "q")], "page int, y double, text string")
+    got = [(r["page"], r["text"]) for r in G.in_reading_order(t, p).orderBy("page", "place").collect()]
+    assert got == [(1, "a"), (1, "T"), (1, "m"), (1, "z"), (2, "q")]
+
+
+def test_hashed_index_grows_its_planes(spark):
+    """Clustered vectors, more planes than on small tables: nearly all true neighbours, far from all rows scored."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    v = centres[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 200 = 0")
+    want = {(r["query"], r["vec_id"]) for r in R.dense_top_k(df, asked).collect()}
+    for planes in (None, 12):
+        got = {(r["query"], r["vec_id"]) for r in R.lsh_top_k(df, asked, planes=planes).collect()}
+        assert len(got & want) >= 0.95 * len(want)
