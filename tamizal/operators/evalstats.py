@@ -269,9 +269,9 @@ def with_defaults(wanted: DataFrame, found: DataFrame, keys: Sequence[str], defa
 def stage_profile(df: DataFrame, stage: str, value: str) -> DataFrame:
     """By stage: runs, mean and population deviation of value, and its share of the sum of all stages."""
     v = F.when(~F.isnan(value), F.col(value))
-    s = df.groupBy(stage).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.sum(v).alias("sum"))
+    s = df.groupBy(stage).agg(F.count(v).alias("n"), F.round(F.avg(v), 9).alias("mean"), F.round(F.stddev_pop(v), 9).alias("deviation"), F.sum(v).alias("sum"))
     whole = s.agg(F.sum("sum").alias("whole"))
-    return s.crossJoin(F.broadcast(whole)).select(stage, "n", "mean", "deviation", F.round(F.col("sum") / F.col("whole"), 6).alias("share"))  # of one row
+    return s.crossJoin(F.broadcast(whole)).select(stage, "n", "mean", "deviation", F.round(F.col("sum") / F.col("whole"), 9).alias("share"))  # of one row
 
 
 def promotable(df: DataFrame, needed: Sequence[str], unique: str, verified: Column | None = None) -> DataFrame:

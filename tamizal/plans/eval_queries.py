@@ -400,7 +400,7 @@ ORACLES = {
         SELECT s.system, CASE WHEN f.id IS NULL THEN 'not_asked' WHEN coalesce(trim(answer, ' ') = '', true) THEN 'no_answer' ELSE 'answered' END AS state, count(*) AS questions
         FROM question_bank b CROSS JOIN (SELECT DISTINCT system FROM runs) s LEFT JOIN f ON f.id = b.id AND f.system = s.system GROUP BY ALL""",
     "phase_profile": f"""WITH v AS (SELECT phase, CASE WHEN NOT isnan(elapsed_s) THEN elapsed_s END AS x FROM {_RUN})
-        SELECT phase, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(sum(x) / (SELECT sum(x) FROM v), 6) AS share FROM v GROUP BY phase""",
+        SELECT phase, count(x) AS n, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS deviation, round(sum(x) / (SELECT sum(x) FROM v), 9) AS share FROM v GROUP BY phase""",
     "run_counts": f"SELECT system, phase, count(*) AS runs, count(pred_category) AS labelled FROM {_RUN} GROUP BY ROLLUP (system, phase)",
     "promotion_gate": 'SELECT count(*) AS "rows", count(*) FILTER (categoria_correcta IS NULL) AS no_categoria_correcta, count(*) FILTER (parafrasis IS NULL) AS no_parafrasis, count(*) FILTER (ground_truth IS NULL) AS no_ground_truth, count(query) - count(DISTINCT query) AS repeated FROM queries',
     "leakage_overlap": f"SELECT {S.norm('query')} AS norm FROM question_bank INTERSECT SELECT {S.norm('query')} FROM runs",
