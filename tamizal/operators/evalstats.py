@@ -38,7 +38,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     Exact: equal values are counted before they move, and ranks are running counts over ranges of values.
     """
     src = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    out = src.groupBy(*by).agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"))
+    out = src.groupBy(*by).agg(F.count("v").alias("n"), F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 9).alias("deviation"), F.min("v").alias("least"), F.max("v").alias("most"))
     ranked = running(src.groupBy(*by, "v").agg(F.count("*").alias("c")), by, ["v"], "c").select(*(F.col(x).alias(f"{x}_r") for x in by), "v", "c", "upto")
     same = F.lit(True)
     for x in by:

@@ -43,7 +43,7 @@ def variant_means(spark: SparkSession, folder: str) -> DataFrame:
     """Mean seconds by category and system, a row for each pair that has runs with a time."""
     bank = table(spark, folder, "question_bank").select("id", "category")
     r = table(spark, folder, "runs").where("not isnan(elapsed_s)").select("id", "system", "elapsed_s").join(bank, "id")
-    return r.groupBy("category", "system").agg(F.round(F.avg("elapsed_s"), 6).alias("mean"))
+    return r.groupBy("category", "system").agg(F.round(F.avg("elapsed_s"), 9).alias("mean"))
 
 
 def blind_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +83,6 @@ ORACLES = {
         SELECT source, count(*) FILTER (numbers >= 2) AS numeric, length(string_agg(text, chr(10)) FILTER (numbers >= 2)) AS size, md5(string_agg(text, chr(10) ORDER BY id || ':' || line_no) FILTER (numbers >= 2)) AS md5 FROM n GROUP BY source HAVING count(*) FILTER (numbers >= 2) >= greatest(2, 0.5 * count(*))""",
     "verified_cells": """WITH r AS (SELECT system, regexp_extract(answer, '^([^:]+): ([0-9]+) vacantes \\((.*)\\)$', 1) AS row_, regexp_extract(answer, '^([^:]+): ([0-9]+) vacantes \\((.*)\\)$', 2) AS n, coalesce(array_to_string(contexts, ' '), '') AS c
         FROM runs WHERE regexp_matches(answer, '^([^:]+): ([0-9]+) vacantes \\((.*)\\)$')) SELECT system, count(*) AS answers, sum((contains(c, row_) AND list_contains(regexp_extract_all(c, '[0-9]+'), n))::INT) AS verified FROM r GROUP BY system""",
-    "variant_means": "SELECT category, system, round(avg(elapsed_s), 6) AS mean FROM runs r JOIN question_bank b ON b.id = r.id WHERE NOT isnan(elapsed_s) GROUP BY category, system",
+    "variant_means": "SELECT category, system, round(avg(elapsed_s), 9) AS mean FROM runs r JOIN question_bank b ON b.id = r.id WHERE NOT isnan(elapsed_s) GROUP BY category, system",
     "blind_order": "SELECT id, system, row_number() OVER (PARTITION BY system ORDER BY md5('11:' || id || ':' || system), id) AS place FROM (SELECT DISTINCT id, system FROM runs WHERE attempt = 1)",
 }

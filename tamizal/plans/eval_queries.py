@@ -375,7 +375,7 @@ ORACLES = {
         -- the complementary error function as an integral over 20,000 steps
         tail AS (SELECT system, round(CASE WHEN z.n <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(dist.c[1:floor(w)::INT + 1]) / pow(2, z.n)) ELSE least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-pow((i + 0.5) * x / 20000, 2)))) * x / 20000) END, 4) AS p FROM x_ JOIN z USING (system) JOIN tie USING (system) LEFT JOIN dist ON dist.n = z.n)
         SELECT system, n, w_plus, w_minus, w, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(z, 6) AS z, round(abs(z) / sqrt(n), 6) AS effect_r, p FROM z JOIN tail USING (system)""",
-    "latency_percentiles": f"""SELECT phase, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, min(v) AS least, max(v) AS most, round(quantile_cont(v, 0.5), 6) AS median,
+    "latency_percentiles": f"""SELECT phase, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS deviation, min(v) AS least, max(v) AS most, round(quantile_cont(v, 0.5), 6) AS median,
         quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99, list_sort(list(v))[count(v) // 2 + 1] AS upper_median
         FROM (SELECT phase, elapsed_s AS v FROM {_RUN} WHERE elapsed_s IS NOT NULL AND NOT isnan(elapsed_s)) GROUP BY phase""",
     "stage_share": """WITH e AS (SELECT hour(ts) AS hour, event_type, round(value, 4)::DECIMAL(20,4) AS value FROM events), g AS (SELECT hour, event_type, count(*) AS n, sum(value) AS total FROM e GROUP BY GROUPING SETS ((hour, event_type), (event_type)))
