@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamizal.functions import text as T
 from tamizal.operators import articles as A
 from tamizal.plans import sql as S
 from tamizal.sources.tables import lines, table, vacantes

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamizal.functions import text as T
 
 SEGMENT = "id string, seq bigint, text string, source string, page int, category string, extraction string, table_no int, row_no int, chunk_no int, workspace_id string, document_id string, cells array<string>, headers array<string>"
 RUN = "id string, system string, query string, answer string, contexts array<string>, phase string, router string, pred_category string, ood_override struct<category:string,best_score:double>, verbalizer string, error string, elapsed_s double"
