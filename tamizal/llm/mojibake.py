@@ -14,7 +14,6 @@ controls and halves of broken sequences count as damage that can't be undone.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
