@@ -264,3 +264,31 @@ def test_classifiers(spark):
     assert f.groupBy("id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
     for kind in ("svm", "bayes", "logistic"):
         assert M.cross_validated(f, kind, "label", 2, buckets=256, rounds=4).where("label = predicted").count() == 60
+
+
+def test_bm25_moves_only_the_best(spark, monkeypatch):
+    from tamizal.operators import retrieval as R
+
+    texts = [(i, "curso " * (i % 7 + 1) + f"tema{i % 40} " * 2 + "aula " * (i % 3)) for i in range(600)] + [(None, "curso tema1")]
+    d = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    q = spark.createDataFrame([(i, f"tema{i} aula curso tema{i + 1}") for i in range(30)], "id int, query string")
+    index = R.lexical_index(d, "doc_id", "text")
+    found = R.bm25_top_k(index, q, k=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # no posting moves, each task keeps the best of its texts
+    rows = {tuple(r) for r in found.collect()}
+    t, terms = (x.collect() for x in index)
+    weight = {r["term"]: (r["idf"], r["mean_length"]) for r in terms}
+    for i in range(30):
+        scores = []
+        for r in t:
+            s = 0
+            for word in (f"tema{i}", "aula", "curso", f"tema{i + 1}"):
+                if (tf := r["tokens"].count(word)) and word in weight:
+                    idf, mean = weight[word]
+                    s += idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * r["length"] / mean))
+            if round(s, 6) and r["doc_id"] is not None:
+                scores.append((-round(s, 6), r["doc_id"]))
+        assert [(d, n) for d, n in sorted((r[1], r[3]) for r in rows if r[0] == i)] == sorted((d, n + 1) for n, (_, d) in enumerate(sorted(scores)[:4]))
+    monkeypatch.setattr(R, "ASKED_TERMS", 20)  # several passes give the same
+    assert {tuple(r) for r in R.bm25_top_k(index, q, k=4).collect()} == rows
