@@ -292,3 +292,13 @@ def test_bm25_moves_only_the_best(spark, monkeypatch):
         assert [(d, n) for d, n in sorted((r[1], r[3]) for r in rows if r[0] == i)] == sorted((d, n + 1) for n, (_, d) in enumerate(sorted(scores)[:4]))
     monkeypatch.setattr(R, "ASKED_TERMS", 20)  # several passes give the same
     assert {tuple(r) for r in R.bm25_top_k(index, q, k=4).collect()} == rows
+
+
+def test_once_moves_only_repeated_keys(spark, tmp_path):
+    from tamizal.sources.tables import once
+
+    rows = [(f"k{i}", "x") for i in range(50)] + [("k3", "x"), ("k3", "x"), (None, "y"), (None, "y")]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "t"))
+    df = once(spark.read.parquet(str(tmp_path / "t")), "id")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted({(a, b) for a, b in rows}, key=str)
+    assert "LeftAnti" in df._jdf.queryExecution().optimizedPlan().toString()  # the other rows stay where they are
