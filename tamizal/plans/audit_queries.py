@@ -110,7 +110,7 @@ def line_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def dispatched_answers(spark: SparkSession, folder: str) -> DataFrame:
     """For each bank question the answer of its category's resolver, else that of the first other: tables and article headings."""
     q = table(spark, folder, "question_bank").select(F.col("id").alias("key"), "category")
-    tables = TQ.table_answers(spark, folder).where(F.col("key").startswith("bank|")).select(F.substr("key", F.lit(6)).alias("key"), F.lit("VACANTES").alias("category"), F.concat_ws(" ", "kind", "number").alias("answer"))
+    tables = TQ.bank_answers(spark, folder).select(F.substr("key", F.lit(6)).alias("key"), F.lit("VACANTES").alias("category"), F.concat_ws(" ", "kind", "number").alias("answer"))
     articles = RQ.article_anchor(spark, folder).select(F.col("id").alias("key"), F.lit("REGLAMENTO").alias("category"), F.col("segment").alias("answer"))
     return A.dispatch(q, tables.unionByName(articles))
 
