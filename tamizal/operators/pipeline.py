@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamizal.functions import predicates as P
-from tamizal.session import materialize
+from tamizal.session import materialize, sent
 
 
 @dataclass(frozen=True)
@@ -104,13 +104,16 @@ def generation(variant: Variant, sources: Sources, write: Callable[[Column, Colu
 
     def answer(q: DataFrame) -> DataFrame:
         found = materialize(sources.search(q.select(F.col("key").alias("id"), "query"), variant.retrieval, variant.k).select(F.col("id").alias("key"), "segment", "rank"), "found")
+        # only what is asked for moves, never all segments or their texts
         context = found.select("key", "segment", "rank", F.lit(0).alias("distance"), F.col("segment").alias("hit"))
         if variant.neighbours:
             hits = found.select(F.col("segment").alias("hit")).distinct().join(sources.texts.withColumnRenamed("segment", "hit"), "hit").select("hit", "source", "page", "seq")
             near = with_neighbours(hits, sources.texts.select("segment", "source", "page", "seq")).select("hit", "segment", "distance").where("distance <> 0")
             more = found.withColumnRenamed("segment", "hit").join(near, "hit").select("key", "segment", "rank", "distance", "hit")
             context = context.unionByName(more.withColumn("distance", F.col("distance").cast("int")))
-        parts = context.join(sources.texts.select("segment", "text"), "segment").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance", "segment", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("fragments"))
+        context = materialize(context, "context")
+        texts = sources.texts.select("segment", "text").join(sent(context.select("segment").distinct(), "segments_used"), "segment", "left_semi")
+        parts = context.join(texts, "segment").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance", "segment", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("fragments"))
         used = found.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]), ",").alias("evidence"))
         both = q.select("key", "query").join(parts, "key", "left").join(used, "key", "left").withColumn("fragments", F.coalesce("fragments", F.array().cast("array<string>")))
         text = (write or extractive)(F.col("query"), F.col("fragments"))
