@@ -107,7 +107,8 @@ def generation(variant: Variant, sources: Sources, write: Callable[[Column, Colu
         # only what is asked for moves, never all segments or their texts
         context = found.select("key", "segment", "rank", F.lit(0).alias("distance"), F.col("segment").alias("hit"))
         if variant.neighbours:
-            hits = found.select(F.col("segment").alias("hit")).distinct().join(sources.texts.withColumnRenamed("segment", "hit"), "hit").select("hit", "source", "page", "seq")
+            places = sources.texts.select(F.col("segment").alias("hit"), "source", "page", "seq")
+            hits = sent(places.join(sent(found.select(F.col("segment").alias("hit")).distinct(), "hits"), "hit").select("hit", "source", "page", "seq"), "places")
             near = with_neighbours(hits, sources.texts.select("segment", "source", "page", "seq")).select("hit", "segment", "distance").where("distance <> 0")
             more = found.withColumnRenamed("segment", "hit").join(near, "hit").select("key", "segment", "rank", "distance", "hit")
             context = context.unionByName(more.withColumn("distance", F.col("distance").cast("int")))

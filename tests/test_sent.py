@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tamizal import session
 from tamizal.operators import pipeline as P
 from tamizal.operators import table_language as L
 from tamizal.session import materialize
@@ -63,3 +64,21 @@ def test_cells_stay(spark, shuffled):
         L.column_readings(L.Asked(q, tables, "id", "query", False)).collect()
 
     assert shuffled(work) < 2
+
+
+def test_places_stay(spark, shuffled):
+    """Only the places next to what was found move."""
+    texts = _texts(spark, 10_000)
+    q = spark.createDataFrame([("a", "qué")], "key string, query string")
+    got = []
+    assert shuffled(lambda: got.extend(P.generation(P.VARIANTS["V4d"], _sources(spark, texts), lambda _, fragments: F.array_join(fragments, "|")).answer(q).collect())) < 0.1
+    text = {r["segment"]: r["text"] for r in texts.where("seq < 20").collect()}
+    assert [tuple(r) for r in got] == [("a", "|".join(text[s] for s in ("s3", "s4", "s5", "s12", "s13")), "s4,s12")]
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_either_way(spark, monkeypatch, rows):
+    """What is sent or moved gives the same rows."""
+    monkeypatch.setattr(session, "SENT_ROWS", rows)
+    few, many = spark.range(3).withColumn("x", F.col("id") * 2), spark.range(10).withColumn("y", F.col("id") + 1)
+    assert sorted(tuple(r) for r in many.join(session.sent(few), "id").collect()) == [(0, 1, 0), (1, 2, 2), (2, 3, 4)]
